@@ -6,17 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import table
+from tessella.llm.common import Scratch, table
 from tessella.llm.quality import line_quality
+from tessella.llm.token_counts import count_tokens
+from tessella.llm.token_files import read_token_files, write_token_files
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), scratch.path("files"))
+    return read_token_files(spark, scratch.path("files"), scratch)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token-counts")
+    return count_tokens(table(spark, sf_dir, "documents"), scratch.path("cache"), scratch=scratch)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_line_quality": op4_line_quality,
+        "op7_token_files": op7_token_files,
+        "op9_token_counts": op9_token_counts,
     }
 
 
