@@ -10,6 +10,11 @@ from tessella.llm.common import Scratch, table
 from tessella.llm.quality import line_quality
 from tessella.llm.token_counts import count_tokens
 from tessella.llm.token_files import read_token_files, write_token_files
+from tessella.llm.warc import warc_round_trip
+
+
+def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +34,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_warc_segments": op3_warc_segments,
         "op4_line_quality": op4_line_quality,
         "op7_token_files": op7_token_files,
         "op9_token_counts": op9_token_counts,
