@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.common import Scratch, table
+from tessella.llm.decontaminate import contaminated_pairs
+from tessella.llm.packing import pack
 from tessella.llm.quality import line_quality
+from tessella.llm.simhash import near_duplicates
 from tessella.llm.token_counts import count_tokens
 from tessella.llm.token_files import read_token_files, write_token_files
 from tessella.llm.warc import warc_round_trip
 
 
+def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), Scratch(spark, "packing"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "leaks"))
+
+
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
 
@@ -32,12 +43,19 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), scratch.path("cache"), scratch=scratch)
 
 
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "simhash"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_length_buckets": op1_length_buckets,
+        "op2_decontamination": op2_decontamination,
         "op3_warc_segments": op3_warc_segments,
         "op4_line_quality": op4_line_quality,
         "op7_token_files": op7_token_files,
         "op9_token_counts": op9_token_counts,
+        "op10_simhash_components": op10_simhash_components,
     }
 
 
