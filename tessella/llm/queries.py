@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.common import Scratch, table
 from tessella.llm.decontaminate import contaminated_pairs
+from tessella.llm.language import identify
 from tessella.llm.packing import pack
 from tessella.llm.quality import line_quality
 from tessella.llm.simhash import near_duplicates
 from tessella.llm.token_counts import count_tokens
 from tessella.llm.token_files import read_token_files, write_token_files
+from tessella.llm.toxicity import toxicity
 from tessella.llm.warc import warc_round_trip
 
 
@@ -32,12 +34,20 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
 
 
+def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), Scratch(spark, "language"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), scratch.path("files"))
     return read_token_files(spark, scratch.path("files"), scratch)
 
 
+def op8_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "toxicity"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-counts")
     return count_tokens(table(spark, sf_dir, "documents"), scratch.path("cache"), scratch=scratch)
@@ -53,7 +63,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_warc_segments": op3_warc_segments,
         "op4_line_quality": op4_line_quality,
+        "op5_language_codes": op5_language_codes,
         "op7_token_files": op7_token_files,
+        "op8_toxicity_ftrl": op8_toxicity_ftrl,
         "op9_token_counts": op9_token_counts,
         "op10_simhash_components": op10_simhash_components,
     }
