@@ -11,6 +11,7 @@ from tessella.llm.decontaminate import contaminated_pairs
 from tessella.llm.language import identify
 from tessella.llm.packing import pack
 from tessella.llm.quality import line_quality
+from tessella.llm.repeats import repeated_spans
 from tessella.llm.simhash import near_duplicates
 from tessella.llm.token_counts import count_tokens
 from tessella.llm.token_files import read_token_files, write_token_files
@@ -38,6 +39,10 @@ def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), Scratch(spark, "language"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark, "repeats"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), scratch.path("files"))
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc_segments": op3_warc_segments,
         "op4_line_quality": op4_line_quality,
         "op5_language_codes": op5_language_codes,
+        "op6_suffix_array": op6_suffix_array,
         "op7_token_files": op7_token_files,
         "op8_toxicity_ftrl": op8_toxicity_ftrl,
         "op9_token_counts": op9_token_counts,
