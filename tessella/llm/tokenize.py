@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -84,6 +85,18 @@ class PieceModel:
         return out
 
 
+class _Memo(dict):
+    """A dictionary that learns what it lacks."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key):
+        value = self[key] = self.learn(key)
+        return value
+
+
 class ByteBpeModel:
     """Ids of a tokenizers file; byte-level BPE without a normaliser gets the memo."""
 
@@ -94,7 +107,8 @@ class ByteBpeModel:
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        self.memo: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.memo = _Memo(self._learn)
         self.byte_level = (
             spec.get("normalizer") is None
             and pre.get("type") == "ByteLevel"
@@ -116,26 +130,37 @@ class ByteBpeModel:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _fits(self, text: str) -> bool:
-        return (
-            self.byte_level
-            and not self.space_run.search(text)
-            and self.ordinary.fullmatch(text) is not None
-            and not any(s in text for s in self.specials)
-        )
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-            self.tokens.clear()
-        tokens, tokenize, cut = self.tokens, self.tokenizer.model.tokenize, self.pattern.findall
-        for piece in pieces - self.memo.keys():
-            ids = []
-            for part in cut(piece):
-                if part not in tokens:
-                    found = tokenize(part.encode().decode("latin-1").translate(self.alphabet))
-                    tokens[part] = np.array([t.id for t in found], dtype="<u4").tobytes()
-                ids.append(tokens[part])
-            self.memo[piece] = ids[0] if len(ids) == 1 else b"".join(ids)
+        """Whether the text has only ordinary Latin characters, no white-space runs and no special tokens."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        if not self.byte_level or any(s in text for s in self.specials):
+            return False
+        flat = text.replace("\n", "")
+        try:
+            flat.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.ordinary.fullmatch(text) is not None
+        return flat.isprintable()
+
+    def _token_bytes(self, part: str) -> bytes:
+        """Ids of one pre-token, from the library's model."""
+        if part.isascii() and part[1:].isalnum() and (part[0] == " " or part[0].isalnum()):
+            shown = "Ġ" + part[1:] if part[0] == " " else part
+        else:
+            shown = part.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        """Ids of a stretch: one pre-token if it is a space and letters, else what the pattern cuts."""
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():
+            return self._token_bytes(piece)
+        tokens, out = self.tokens, []
+        for part in self.pattern.findall(piece):
+            if part not in tokens:
+                tokens[part] = self._token_bytes(part)
+            out.append(tokens[part])
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
@@ -143,20 +168,16 @@ class ByteBpeModel:
         In a text without white-space runs, each space opens a piece and each line feed is a piece, so the
         stretches between them encode independently: those after a space with that space, others without.
         """
-        cut: list[list[str] | None] = []
+        if len(self.memo) + len(self.tokens) > MEMO_ENTRIES:
+            self.memo.clear()
+            self.tokens.clear()
+        get, out = self.memo.__getitem__, []
         for text in texts:
             if not self._fits(text):
-                cut.append(None)
+                out.append(self._whole(text))
                 continue
-            first, *lines = text.split("\n")
-            pieces = first.replace(" ", "\x00 ").split("\x00")
-            for line in lines:
-                pieces.append("\n")
-                pieces += line.replace(" ", "\x00 ").split("\x00")
-            cut.append(pieces)
-        self._learn({p for pieces in cut if pieces is not None for p in pieces})
-        get = self.memo.__getitem__
-        return [self._whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+            out.append(b"".join(map(get, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00"))))
+        return out
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(x) // 4 for x in self.encode(texts)]
