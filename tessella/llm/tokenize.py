@@ -124,7 +124,6 @@ class ByteBpeModel:
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
         self.ordinary = re.compile("[\n\x20-\x7e¡-ſ]*")
-        self.space_run = re.compile("[ \n]{2}")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
