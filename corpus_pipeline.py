@@ -37,15 +37,19 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
 
 
-def _unpacked(rows: DataFrame, columns: list[str], text=None) -> DataFrame:
-    """The columns of documents again, with a new text where one is given."""
+def _unpacked(rows: DataFrame, columns: list[str], text=None, keep: str | None = None) -> DataFrame:
+    """The columns of documents again, with a new text where one is given; with ``keep`` as a struct next to that flag."""
     new = {} if text is None else {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in columns])
+    out = [new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in columns]
+    return rows.select(*out) if keep is None else rows.select(F.struct(*out).alias("row"), F.col(keep).alias("kept"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality_report(_packed(docs).select("row", "text"))
-    return _unpacked(judged.filter("_q.kept"), docs.columns, F.col("_q.clean_text"))
+    # written before the filter: the optimizer would else push the whole judgement below it and run it twice
+    rows = _unpacked(judged, docs.columns, F.col("_q.clean_text"), keep="_q.kept")
+    written = Scratch(spark, "pipeline-quality").save(rows, "judged")
+    return written.filter("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
