@@ -142,6 +142,10 @@ def _from(kind: str, lower: tuple, upper: tuple) -> Column:
 
 def union(kind: str, a: Column, b: Column) -> Column:
     """``a + b``; raises if a gap lies between them."""
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: _union(kind, x["a"], x["b"]))
+
+
+def _union(kind: str, a: Column, b: Column) -> Column:
     joined = _from(kind, _pick(lower_le(a, b), a, b, "lower"), _pick(upper_le(b, a), a, b, "upper"))
     gap = ~(overlaps(a, b) | adjacent(a, b))
     checked = F.when(gap, F.raise_error("result of range union would not be contiguous").cast("boolean")).otherwise(True)
@@ -149,12 +153,20 @@ def union(kind: str, a: Column, b: Column) -> Column:
 
 
 def intersect(kind: str, a: Column, b: Column) -> Column:
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: _intersect(kind, x["a"], x["b"]))
+
+
+def _intersect(kind: str, a: Column, b: Column) -> Column:
     shared = _from(kind, _pick(lower_le(b, a), a, b, "lower"), _pick(upper_le(a, b), a, b, "upper"))
     return _known(a, b, F.when(overlaps(a, b), shared).otherwise(empty(kind)))
 
 
 def difference(kind: str, a: Column, b: Column) -> Column:
     """``a - b``; raises if ``b`` would split ``a``."""
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: _difference(kind, x["a"], x["b"]))
+
+
+def _difference(kind: str, a: Column, b: Column) -> Column:
     left = lower_le(a, b) & ~lower_le(b, a)  # a starts before b
     right = upper_le(b, a) & ~upper_le(a, b)  # a ends after b
     head = _from(kind, (a["lower"], a["lower_inc"]), (b["lower"], ~b["lower_inc"]))
@@ -207,8 +219,17 @@ def upper_inf(r: Column) -> Column:
     return ~r["is_empty"] & r["upper"].isNull()
 
 
+def _let(e: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(e), body), F.lit(0))
+
+
 def to_text(r: Column) -> Column:
     """The literal form, such as ``[1,5)`` or ``empty``; values with spaces or signs of the form are quoted."""
+    return _let(r, _to_text)
+
+
+def _to_text(r: Column) -> Column:
 
     def bound(e: Column) -> Column:
         text = e.cast("string")
@@ -221,6 +242,10 @@ def to_text(r: Column) -> Column:
 
 def parse(kind: str, s: Column) -> Column:
     """A range from its literal form."""
+    return _let(s, lambda x: _parse(kind, x))
+
+
+def _parse(kind: str, s: Column) -> Column:
     t = KINDS[kind][0]
     bound = r'("(?:[^"\\]|\\.|"")*"|[^,"]*)'
     pattern = rf"^\s*([\[(]){bound},{bound}([\])])\s*$"

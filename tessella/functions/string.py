@@ -101,7 +101,7 @@ def rpad(s: Column, n: int, fill: str = " ") -> Column:
 
 def chr_(n: Column) -> Column:
     """The character of a Unicode code point."""
-    return F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32BE")
+    return F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
 
 
 #: Template patterns of to_char and to_date and the letters Spark's formatter uses.

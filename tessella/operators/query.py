@@ -193,8 +193,9 @@ class Query:
             if j.lateral is not None:
                 outer = {a: Columns(a, c._names, outer=True) for a, c in parts.items()}
                 built = j.lateral(next(iter(outer.values())) if len(outer) == 1 else Sources(outer))
+                # a frame that names outer columns can't be asked for its own; the query knows them
                 right = built.df() if isinstance(built, Query) else built
-                parts[j.alias] = Columns(j.alias, right.columns)
+                parts[j.alias] = Columns(j.alias, built.output_names() if isinstance(built, Query) else right.columns)
                 on = j.on(Sources(parts)) if j.on else None
                 current = current.lateralJoin(right.alias(j.alias), on=on, how=j.how)
                 continue
@@ -210,7 +211,6 @@ class Query:
         if keys or self.havings:
             return self._finish(*self._grouped(current, names, columns, orders, keys))
         out_names = [_name(c) for c in columns]
-        hidden = [f"_h{k}" for k in range(len(columns))]
         if not self.distinct or self.distinct_keys is not None:
             on = list(_many(self.distinct_keys(names))) if self.distinct_keys else []
             sorting = [_sorted(o) for o in orders]
@@ -223,8 +223,8 @@ class Query:
                 current = current.offset(self.offset_n)
             if self.limit_n is not None:
                 current = current.limit(self.limit_n)
-            return current.select(*[c.alias(h) for c, h in zip(columns, hidden, strict=True)]).toDF(*out_names)
-        shown = current.select(*[c.alias(h) for c, h in zip(columns, hidden, strict=True)]).toDF(*out_names).distinct()
+            return current.select(*[c.alias(n) for c, n in zip(columns, out_names, strict=True)])
+        shown = current.select(*[c.alias(n) for c, n in zip(columns, out_names, strict=True)]).distinct()
         by_name = [make(Columns("d", out_names)) for make in self.orders]
         return self._finish(shown.alias("d"), [F.col(f"d.`{n}`") for n in out_names], out_names, [_sorted(o) for x in by_name for o in _many(x)])
 
@@ -271,7 +271,13 @@ class Query:
             current = current.offset(self.offset_n)
         if self.limit_n is not None:
             current = current.limit(self.limit_n)
-        return current.select(*columns).toDF(*out_names)
+        return current.select(*[c.alias(n) for c, n in zip(columns, out_names, strict=True)])
+
+    def output_names(self) -> list[str]:
+        """The names of the result's columns."""
+        parts = {self.base_alias: Columns(self.base_alias, self.base.columns)}
+        parts |= {j.alias: Columns(j.alias, j.df.columns) for j in self.joins if j.df is not None}
+        return [_name(c) for c in self._projected(self._sources(parts), parts)]
 
     # use as a part of other queries
 
@@ -287,10 +293,9 @@ class Query:
 
     def scalar(self) -> Column:
         """The one value of a one-column query; more than one row raises when it runs."""
-        df = self.df()
-        if len(df.columns) != 1:
+        if len(self.output_names()) != 1:
             raise ValueError("a scalar subquery has one column")
-        return df.scalar()
+        return self.df().scalar()
 
 
 def _many(x) -> tuple:

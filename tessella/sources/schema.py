@@ -21,8 +21,8 @@ TYPE_NAMES: dict[str, T.DataType] = {
     "bytea": T.BinaryType(), "json": T.StringType(), "jsonb": T.VariantType(), "xml": T.StringType(), "inet": T.StringType(), "cidr": T.StringType(),
     "macaddr": T.StringType(), "macaddr8": T.StringType(), "bit": T.StringType(), "varbit": T.StringType(), "money": T.DecimalType(19, 2), "tsvector": T.StringType(), "tsquery": T.StringType(),
     "numeric": T.DecimalType(38, 10), "varchar": T.StringType(), "bpchar": T.StringType(), "time": T.LongType(),
-    "interval": T.StructType().add("months", "int").add("days", "int").add("micros", "long"),
-    "timetz": T.StructType().add("micros", "long").add("offset_seconds", "int"),
+    "interval": T.StructType().add("months", T.IntegerType()).add("days", T.IntegerType()).add("micros", T.LongType()),
+    "timetz": T.StructType().add("micros", T.LongType()).add("offset_seconds", T.IntegerType()),
 }
 
 #: Types of Python values, as dataclass fields declare them.
@@ -40,7 +40,7 @@ def register_type(name: str, spark_type: T.DataType, python: type | None = None)
 
 
 def range_struct(bound: T.DataType) -> T.StructType:
-    return T.StructType().add("lower", bound).add("upper", bound).add("lower_inc", "boolean").add("upper_inc", "boolean").add("is_empty", "boolean")
+    return T.StructType().add("lower", bound).add("upper", bound).add("lower_inc", T.BooleanType()).add("upper_inc", T.BooleanType()).add("is_empty", T.BooleanType())
 
 
 _RANGES = {"int4range": T.IntegerType(), "int8range": T.LongType(), "numrange": T.DecimalType(38, 10), "daterange": T.DateType(), "tsrange": T.TimestampNTZType(), "tstzrange": T.TimestampType()}
