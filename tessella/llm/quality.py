@@ -69,7 +69,7 @@ def line_is_bad(line: Column, rules: QualityRules) -> Column:
     return (
         F.when(has_separator & (F.regexp_count(spaced, F.lit(r" [|»›•>·]+ ")) > n_words * rules.max_separators), True)
         .when(has_marks & (F.regexp_count(spaced, F.lit(r"[!#*$%&]{2,} ")) > n_words * rules.max_shouted), True)
-        .when(~ended, has_separator | (n_words >= rules.min_prose_words))
+        .when(~ended & (has_separator | (n_words >= rules.min_prose_words)), True)
         .otherwise(line.rlike(BOILERPLATE))
     )
 
