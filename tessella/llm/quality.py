@@ -74,15 +74,8 @@ def line_is_bad(line: Column, rules: QualityRules) -> Column:
     )
 
 
-def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus a struct ``_q`` with the measures, the verdicts and the clean text.
-
-    Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words,
-    n_bad_lines, kept, clean_text. The struct keeps input columns of any name apart from the results.
-
-    Repeated 3-word windows are found by XXH64 of their words: where all hashes of a text differ, none
-    repeats; else hashes are sorted with their positions and neighbours compared, n log n a text.
-    """
+def _measured(docs: DataFrame, rules: QualityRules, text_col: str) -> DataFrame:
+    """_row (all columns of ``docs`` as a struct), _text, the measures and the verdicts."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("_text"))
     split = rows.withColumns({
@@ -125,21 +118,33 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), text_c
         "base_failed",
         (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
     )
+    # the row number keeps a filter on the verdict above this projection; below it, the optimizer
+    # would put every measure into the filter again, nested ones for each word
+    within = (F.col("lost_words") <= F.col("n_words") * rules.max_lost) & (F.monotonically_increasing_id() >= 0)
+    return judged.withColumn("kept", ~F.col("base_failed") & within)
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", "n_bad_lines")
+
+
+def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` plus a struct ``_q`` with the measures, the verdicts and the clean text.
+
+    Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words,
+    n_bad_lines, kept, clean_text. The struct keeps input columns of any name apart from the results.
+
+    Repeated 3-word windows are found by XXH64 of their words: where all hashes of a text differ, none
+    repeats; else hashes are sorted with their positions and neighbours compared, n log n a text.
+    """
     clean = F.array_join(
         F.filter(F.split(F.col("_text"), "\n"), lambda x: ~(x.rlike(WORD) & line_is_bad(x, rules))), "\n"
     )
-    return judged.select(
+    return _measured(docs, rules, text_col).select(
         *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns],
-        F.struct(
-            "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "n_bad_lines",
-            (~F.col("base_failed") & (F.col("lost_words") <= F.col("n_words") * rules.max_lost)).alias("kept"),
-            F.when(F.col("n_bad_lines") > 0, clean).otherwise(F.col("_text")).alias("clean_text"),
-        ).alias("_q"),
+        F.struct(*MEASURES, F.when(F.col("n_bad_lines") > 0, clean).otherwise(F.col("_text")).alias("clean_text")).alias("_q"),
     )
 
 
 def line_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The contract's row per document: doc_id, the measures, base_failed, kept and the lost words."""
-    report = quality_report(docs.select("doc_id", "text"), rules)
-    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", "n_bad_lines")
-    return report.select("doc_id", *[F.col(f"_q.{f}").alias(f) for f in fields])
+    return _measured(docs.select("doc_id", "text"), rules, "text").select(F.col("_row.doc_id").alias("doc_id"), *MEASURES)
