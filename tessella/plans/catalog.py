@@ -26,6 +26,7 @@ from tessella.operators import mutate as DML
 from tessella.operators import predicates as P
 from tessella.operators import validate as V
 from tessella.operators.query import EMPTY_GROUP, From, asc, cube, desc, grouping_sets, rollup
+from tessella.operators.range_join import overlap_join
 from tessella.operators.setops import set_op
 from tessella.sources import rows as SRC
 from tessella.sources.schema import Builder, TableDef, ViewDef, table_of, view_of
@@ -363,6 +364,14 @@ def join_range(spark, t):
     return From(t("nation"), "a").inner_join(t("supplier"), "b", lambda s: R.contains_elem(span(s.a), s.b.s_suppkey)).select(lambda s: (s.a.n_nationkey.alias("a"), s.b.s_suppkey.alias("b"))).df()
 
 
+@query("select o_orderkey, event_id from (select o_orderkey, epoch(o_orderdate)::bigint as lo from orders) join (select event_id, epoch(ts)::bigint as ts from events) on ts >= lo and ts < lo + 3600 * (1 + o_orderkey % 40)")
+def join_range_binned(spark, t):
+    orders = t("orders").select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("lo")).withColumn("lo", F.floor(F.col("lo") / 1_000_000))
+    events = t("events").select("event_id", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long").alias("at"))
+    lo, at = F.col("lo"), F.col("at")
+    return overlap_join(orders, events, (lo, lo + 3600 * (F.col("o_orderkey") % 40 + 1)), (at, at + 1), 24 * 3600).select("o_orderkey", "event_id")
+
+
 # grouping and ordering
 
 

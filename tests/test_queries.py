@@ -12,6 +12,7 @@ from tessella.operators import mutate as M
 from tessella.operators import predicates as P
 from tessella.operators import validate as V
 from tessella.operators.query import EMPTY_GROUP, From, asc, cube, desc, grouping_sets, rollup
+from tessella.operators.range_join import overlap_join
 from tessella.operators.setops import set_op
 from tessella.sources import rows as SRC
 from tessella.sources.schema import UNSET, Builder, register_type, spark_type, table_of, view_of
@@ -221,6 +222,19 @@ def test_fetching(people):
     assert fetch.later(lambda s: df.filter("id = 1"), fetch.unique)(None).age == 10
 
 
+def test_overlap_join_finds_each_pair_once(spark):
+    import random
+
+    rng = random.Random(2)
+    a = [(k, lo, lo + rng.randrange(0, 30)) for k in range(60) for lo in (rng.randrange(-50, 50),)] + [(99, None, 5)]
+    b = [(k, lo, lo + rng.randrange(0, 9)) for k in range(60) for lo in (rng.randrange(-50, 50),)]
+    left, right = spark.createDataFrame(a, "i int, lo int, hi int"), spark.createDataFrame(b, "j int, start int, stop int")
+    got = sorted((r.i, r.j) for r in overlap_join(left, right, (F.col("lo"), F.col("hi")), (F.col("start"), F.col("stop")), 7).collect())
+    assert got == sorted((i, j) for i, lo, hi in a for j, s, e in b if lo is not None and lo < hi and s < e and lo < e and s < hi)
+    with pytest.raises(ValueError):
+        overlap_join(left, left, (F.col("lo"), F.col("hi")), (F.col("lo"), F.col("hi")), 7)
+
+
 def test_dates_in_declared_ranges(spark):
     rows = spark.createDataFrame([(dt.date(2024, 1, 1),)], "d date")
     assert rows.select(F.year("d").alias("y")).first().y == 2024
