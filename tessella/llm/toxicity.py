@@ -1,7 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features: words (runs of letters, digits and underscores, lower-cased), pairs of neighbours and pairs with
-one word between, hashed to ``dims`` places, each present or not. FTRL-proximal keeps a learning rate for
+Features: words (runs of letters, digits and underscores, lower-cased), pairs of neighbours, pairs with one word
+between, and the first five letters of longer words (for endings never learned from), hashed to ``dims``
+places, each present or not. FTRL-proximal keeps a learning rate for
 every coordinate, and its L1 term leaves most weights exactly zero, so the broadcast model is the few that
 are not.
 
@@ -48,13 +49,15 @@ class ToxicityModel:
 
 
 def feature_places(text: str, dims: int) -> np.ndarray:
-    """Distinct places of the words, the pairs and the skip pairs of a text."""
+    """Distinct places of the words, the pairs, the skip pairs and the word beginnings of a text."""
     import xxhash
 
     hashed, words = xxhash.xxh64_intdigest, _WORD.findall(text.lower())
     one = np.fromiter((hashed(w) for w in words), dtype=np.uint64, count=len(words))
     odd, skip = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed = np.concatenate([one, (one[:-1] * odd + one[1:]) * skip, (one[:-2] * skip + one[2:]) * odd])
+    heads = {w[:5] for w in words if len(w) > 5}
+    begun = np.fromiter((hashed(w, 1) for w in heads), dtype=np.uint64, count=len(heads))
+    mixed = np.concatenate([one, (one[:-1] * odd + one[1:]) * skip, (one[:-2] * skip + one[2:]) * odd, begun])
     mixed ^= mixed >> np.uint64(31)
     return np.unique((mixed * odd) >> np.uint64(64 - dims.bit_length() + 1)).astype(np.int32)
 
@@ -62,7 +65,7 @@ def feature_places(text: str, dims: int) -> np.ndarray:
 class FtrlProximal:
     """Per-coordinate FTRL-proximal with L1 and L2 terms; weights follow from the sums on demand."""
 
-    def __init__(self, dims: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.1):
+    def __init__(self, dims: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z = np.zeros(dims + 1)  # the last is the intercept
         self.n = np.zeros(dims + 1)
