@@ -235,7 +235,7 @@ def repeated_spans(
     scratch: Scratch,
     min_bytes: int = 400,
     keep_text: bool = False,
-    shard_bytes: int = 4 << 20,
+    shard_bytes: int = 3 << 19,
     bucket_bytes: int = 24 << 20,
     split_segments: int = 2000,
     id_col: str = "doc_id",

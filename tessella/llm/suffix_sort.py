@@ -11,7 +11,8 @@ Common prefixes are induced along: neighbours in a bucket share one symbol more
 prefix between their sources. That least value is looked up in a sparse table inside a batch and kept in a running
 minimum for each symbol between batches. Prefixes are capped at ``depth``.
 
-Arrays of a large shard lie in memory-mapped files of a temporary folder, which goes when the sort ends.
+What a large shard keeps (text, types, ranks of every round, marks) lies in memory-mapped files of a temporary
+folder, which goes when the sort ends; a round of naming takes about ten bytes a symbol of memory meanwhile.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ class Spill:
         self.files += 1
         return np.memmap(f"{self.folder.name}/{self.files}", dtype=dtype, mode="w+", shape=(size,))
 
+    def keep(self, values: np.ndarray) -> np.ndarray:
+        """The values, in a mapped file if they are large."""
+        if values.nbytes <= self.memory_bytes:
+            return values
+        out = self.array(len(values), values.dtype)
+        out[:] = values
+        return out
+
     def close(self) -> None:
         self.folder.cleanup()
 
@@ -111,8 +120,16 @@ def s_types(text: np.ndarray) -> np.ndarray:
 
 
 def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    values, names = np.unique(keys, return_inverse=True)
-    return names.astype(np.int64), len(values)
+    """Ranks of keys among the different ones, in 32 bits, and how many there are."""
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    ranked = keys[order]
+    del keys
+    fresh = np.ones(len(ranked), dtype=bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    del ranked
+    names = np.empty(len(order), dtype=np.int32)
+    names[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return names, int(fresh.sum())
 
 
 def sort_lms(text: np.ndarray, lms: np.ndarray, depth: int, spill: Spill) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +140,7 @@ def sort_lms(text: np.ndarray, lms: np.ndarray, depth: int, spill: Spill) -> tup
     # symbols are below 512. Where one substring ends and another goes on with the same symbols, the
     # place is S-type in the first and L-type in the other, so the end counts as greater than any symbol
     per_key, width, end = 6, 10, 1023
-    names, at = np.zeros(count, dtype=np.int64), 0
+    names, at = np.zeros(count, dtype=np.int32), 0
     longest = int(lengths.max())
     while at < longest:
         key = np.zeros(count, dtype=np.int64)
@@ -132,23 +149,23 @@ def sort_lms(text: np.ndarray, lms: np.ndarray, depth: int, spill: Spill) -> tup
             symbol = np.where(inside, text[np.minimum(lms + k, n - 1)].astype(np.int64), end)
             key = (key << width) | symbol
         fresh, kinds = _dense(key)
-        names, total = _dense(names * kinds + fresh)
+        names, total = _dense(names.astype(np.int64) * kinds + fresh)
         at += per_key
     # symbols that 2 ** round substrings span, without the one that the next shares
-    rounds = [names]
+    rounds = [spill.keep(names)]
     steps = np.append(np.diff(lms), n - lms[-1])
-    reach = [steps]
+    reach = [spill.keep(np.minimum(steps, depth).astype(np.int32))]
     total = int(names.max()) + 1
     while ((np.bincount(names)[names] > 1) & (reach[-1] < depth)).any():
         hop = 1 << (len(rounds) - 1)
         after = np.full(count, -1, dtype=np.int64)
         after[:-hop] = rounds[-1][hop:]
-        names, total = _dense(rounds[-1] * (total + 1) + after + 1)
-        span = reach[-1].copy()
+        names, total = _dense(rounds[-1].astype(np.int64) * (total + 1) + after + 1)
+        span = np.array(reach[-1])
         span[:-hop] += reach[-1][hop:]
-        rounds.append(names)
-        reach.append(np.minimum(span, depth))
-    order = np.argsort(rounds[-1], kind="stable")
+        rounds.append(spill.keep(names))
+        reach.append(spill.keep(np.minimum(span, depth)))
+    order = np.argsort(rounds[-1], kind="stable").astype(np.int64)
     # neighbours: the longest equal stretches first, then symbol by symbol inside the substring that differs
     a, b = order[:-1].copy(), order[1:].copy()
     prefix = np.zeros(count, dtype=np.int32)
@@ -239,10 +256,10 @@ def induced_order(text: np.ndarray, depth: int, spill: Spill) -> Iterator[tuple[
     ``depth``; 0 across buckets. ``text`` holds symbols below 512 and ends with a unique least symbol 0.
     """
     symbols = int(text.max()) + 1
-    small = s_types(text)
+    small = spill.keep(s_types(text))
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     order, shared = sort_lms(text, lms, depth, spill)
-    seeds = lms[order]
+    seeds = spill.keep(lms[order])
     seed_symbols = text[seeds]
     bounds = np.searchsorted(seed_symbols, np.arange(symbols + 1))
     large_queue, large = BucketQueue(symbols, spill), ~small
@@ -301,6 +318,7 @@ def repeated_starts(text: np.ndarray, depth: int, memory_bytes: int = MEMORY_BYT
     """
     spill = Spill(memory_bytes)
     try:
+        text = spill.keep(text)
         marked = spill.array(len(text), bool)
         last = None
         for positions, prefixes in induced_order(text, depth, spill):
