@@ -231,14 +231,47 @@ def _probes(plan: list[Partition]):
     return run
 
 
+class Trees:
+    """Disjoint sets of ids; the least id is a set's root."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def join(self, u: int, v: int) -> bool:
+        """Whether the two were apart."""
+        p, q = self.root(u), self.root(v)
+        if p != q:
+            self.parent[max(p, q)] = min(p, q)
+        return p != q
+
+
 def forest(left: np.ndarray, left_ids: np.ndarray, right: np.ndarray, right_ids: np.ndarray, distance: int, tile: int = 1024) -> list[tuple[int, int]]:
-    """Links (ids) of a spanning forest among all pairs of ``left`` x ``right`` within ``distance``, tile by tile."""
-    links: list[tuple[int, int]] = []
+    """Links (ids) of a spanning forest among all pairs of ``left`` x ``right`` within ``distance``.
+
+    Tile by tile, each row that is near a row of another tree joins it, until none is; so dense tiles cost a few
+    rounds over their matrix and not a step for each pair.
+    """
+    trees, links = Trees(), []
     for i in range(0, len(left), tile):
         for j in range(0, len(right), tile):
             near = _apart(left[i : i + tile, None], right[None, j : j + tile]) <= distance
-            x, y = np.nonzero(near)
-            links = spanning([*links, *zip(left_ids[i + x].tolist(), right_ids[j + y].tolist(), strict=True)])
+            rows, columns = left_ids[i : i + tile].tolist(), right_ids[j : j + tile].tolist()
+            while True:
+                own = np.array([trees.root(x) for x in rows])
+                other = np.array([trees.root(x) for x in columns])
+                apart = near & (own[:, None] != other[None, :])
+                open_rows = np.flatnonzero(apart.any(axis=1))
+                if not len(open_rows):
+                    break
+                for x, y in zip(open_rows.tolist(), apart[open_rows].argmax(axis=1).tolist(), strict=True):
+                    if trees.join(rows[x], columns[y]):
+                        links.append((min(rows[x], columns[y]), max(rows[x], columns[y])))
     return links
 
 
@@ -263,20 +296,8 @@ def _small_links(group: np.ndarray, prints: np.ndarray, ids: np.ndarray, distanc
 
 def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The links, in order, that join two trees of those before."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up]
-        return x
-
-    kept = []
-    for u, v in links:
-        p, q = root(u), root(v)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            kept.append((min(u, v), max(u, v)))
-    return kept
+    trees = Trees()
+    return [(min(u, v), max(u, v)) for u, v in links if trees.join(u, v)]
 
 
 def _compare(distance: int):
