@@ -358,18 +358,20 @@ def near_links(
     plan = sampled_plan(sample, tables, key_bits) if tables else plan_partitions(sample, distance, max(total, 1))
     fields = ", ".join(["part int, key long, entry boolean, node long", *(f"{w} long" for w in words)])
     rows = scratch.save(reps.select("node", *words).mapInArrow(_probes(plan), fields), "probes")
-    # a bucket matters if it holds an entry and another row
-    sizes = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("entry").cast("long")).alias("entries"))
-    sizes = scratch.save(sizes.filter("entries > 0 and n > 1").select(F.col("part").alias("p"), F.col("key").alias("k"), "n", "entries"), "buckets")
-    met = rows.join(sizes, (F.col("part") == F.col("p")) & (F.col("key") == F.col("k"))).drop("p", "k")
     # a small bucket is one block; in a large one blocks of entries meet blocks of rows
-    pair = "struct<i:int,j:int,side:int>"
+    sizes = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("entry").cast("long")).alias("entries"))
+    large = scratch.save(sizes.filter(F.col("n") > block_rows).select(F.col("part").alias("p"), F.col("key").alias("k"), "n", "entries"), "buckets")
+    met = rows.join(large, (F.col("part") == F.col("p")) & (F.col("key") == F.col("k")), "left").drop("p", "k")
+    pair = "array<struct<i:int,j:int,side:int>>"
     blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
     spot = F.xxhash64("node")
     as_entry = F.when(F.col("entry"), F.transform(F.sequence(F.lit(0), blocks("n") - 1), lambda j: F.struct(F.pmod(spot, blocks("entries")).cast("int").alias("i"), j.alias("j"), F.lit(0).alias("side"))))
     as_row = F.transform(F.sequence(F.lit(0), blocks("entries") - 1), lambda i: F.struct(i.alias("i"), F.pmod(spot, blocks("n")).cast("int").alias("j"), F.lit(1).alias("side")))
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
-    spots = F.when(F.col("n") <= block_rows, whole).otherwise(F.concat(F.coalesce(as_entry, F.array().cast(f"array<{pair}>")), as_row))
+    spots = (
+        F.when(F.col("n").isNull(), whole).when(F.col("entries") == 0, F.array().cast(pair))  # probes alone need not meet
+        .otherwise(F.concat(F.coalesce(as_entry, F.array().cast(pair)), as_row))
+    )
     dealt = met.select("part", "key", "node", *words, F.explode(spots).alias("b")).select("part", "key", "b.i", "b.j", "b.side", "node", *words)
     place = ("part", "key", "i", "j")
     links = dealt.repartition(*place).sortWithinPartitions(*place, "side").mapInArrow(_compare(distance), "u long, v long")
