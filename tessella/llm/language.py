@@ -116,10 +116,10 @@ def _examples(dims: int, windows: int):
                 for a, b in cuts:
                     found, n = np.unique(gram_places(data[a:b], dims), return_counts=True)
                     langs.append(lang)
-                    places.append(found.astype(np.int32).tolist())
-                    counts.append((n / max(1, n.sum())).astype(np.float32).tolist())
+                    places.append(found.astype(np.int32).tobytes())
+                    counts.append((n / max(1, n.sum())).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["lang", "places", "shares"]
+                [pa.array(langs, pa.string()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "places", "shares"]
             )
 
     return run
@@ -162,14 +162,14 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 200, max_languages:
     chosen = F.broadcast(chosen.filter(F.col("place") <= per_language).select("doc_id").distinct())  # at most per_language * max_languages ids
     with text_batches(spark):
         sample = usable.filter(F.col("lang").isin(names)).join(chosen, "doc_id").select("lang", "text")
-        rows = sample.mapInArrow(_examples(dims, windows), "lang string, places array<int>, shares array<float>").collect()
+        rows = sample.mapInArrow(_examples(dims, windows), "lang string, places binary, shares binary").collect()
     rows = [r for r in rows if r.places]
-    rows.sort(key=lambda r: (r.lang, r.places[:50], r.shares[:50]))
+    rows.sort(key=lambda r: (r.lang, bytes(r.places), bytes(r.shares)))
     if not rows:
         return None
     x = np.zeros((len(rows), dims), dtype=np.float32)
     for k, r in enumerate(rows):
-        x[k, r.places] = r.shares
+        x[k, np.frombuffer(r.places, np.int32)] = np.frombuffer(r.shares, np.float32)
     scale = 50.0
     x *= scale
     code = codewords(len(names))

@@ -88,8 +88,8 @@ class FtrlProximal:
 def _places(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [feature_places(t, dims).tolist() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["spot", "label", "places"])
+            found = [feature_places(t, dims).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["spot", "label", "places"])
 
     return run
 
@@ -102,10 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, dims: int
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     with text_batches(spark):
         joined = texts.join(F.broadcast(chosen), "doc_id").select("spot", "label", "text")  # at most sample_rows rows
-        rows = joined.mapInArrow(_places(dims), "spot long, label int, places array<int>").collect()
-    rows.sort(key=lambda r: (r.spot, r.label, len(r.places)))
+        rows = joined.mapInArrow(_places(dims), "spot long, label int, places binary").collect()
+    rows.sort(key=lambda r: (r.spot, r.label, bytes(r.places)))
     learner = FtrlProximal(dims)
-    examples = [(np.array(r.places, dtype=np.int64), r.label) for r in rows]
+    examples = [(np.frombuffer(r.places, dtype=np.int32), r.label) for r in rows]  # as bytes, some 6 KB a row
     del rows
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(examples)):
