@@ -8,8 +8,8 @@ examples kept aside, and picks the least; a small lead over the next language fl
 Up to six languages use the exhaustive code (2^(k-1) - 1 bits), more use the random code with the largest
 least distance of 200 drawn from a fixed seed.
 
-Learning: at most ``per_language`` documents of each of at most ``max_languages`` languages (the most
-frequent; ties by name), chosen by the order of a hash of their ids, whole, plus windows of their letters
+Learning: at most ``sample_rows`` documents, ``per_language`` at most of each of at most ``max_languages``
+languages (the most frequent; ties by name), chosen by the order of a hash of their ids, whole, plus windows of their letters
 so that short texts are seen. Executors turn them to sparse counts; the driver fits the bits. The bounds
 are the same at every size of input.
 
@@ -149,7 +149,7 @@ def _temperature(margins: np.ndarray, truth: np.ndarray, code: np.ndarray, trust
     return min((1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), key=surprise) if len(truth) else 1.0
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 200, max_languages: int = 64, dims: int = 1 << 13, windows: int = 3, ambiguous_lead: float = 0.2) -> LanguageModel | None:
+def fit(docs: DataFrame, learn: Column, per_language: int = 200, sample_rows: int = 1600, max_languages: int = 64, dims: int = 1 << 13, windows: int = 3, ambiguous_lead: float = 0.2) -> LanguageModel | None:
     """Learn from rows of ``docs`` (doc_id, text, lang) where ``learn`` holds; None if there are none."""
     spark = docs.sparkSession
     usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -157,9 +157,10 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 200, max_languages:
     names = sorted(r[0] for r in top)
     if not names:
         return None
+    each = max(8, min(per_language, sample_rows // len(names)))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = usable.filter(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("place", place)
-    chosen = F.broadcast(chosen.filter(F.col("place") <= per_language).select("doc_id").distinct())  # at most per_language * max_languages ids
+    chosen = F.broadcast(chosen.filter(F.col("place") <= each).select("doc_id").distinct())  # at most sample_rows ids
     with text_batches(spark):
         sample = usable.filter(F.col("lang").isin(names)).join(chosen, "doc_id").select("lang", "text")
         rows = sample.mapInArrow(_examples(dims, windows), "lang string, places binary, shares binary").collect()
