@@ -169,7 +169,7 @@ def write_token_files(
     tokenizer: str = "byte_bpe_50k.json",
     end_id: int = 0,
     file_text_bytes: int = 16 << 20,
-    block_ids: int = 4 << 20,
+    block_ids: int = 2 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:

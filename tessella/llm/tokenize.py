@@ -21,8 +21,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries a memo holds before it starts anew; bounds a worker's memory at about 250 MB.
-MEMO_ENTRIES = 1_000_000
+#: Entries a memo holds before it starts anew; bounds its memory at about 100 MB a worker.
+MEMO_ENTRIES = 400_000
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
