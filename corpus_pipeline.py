@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which :func:`run
 reads back as the next stage's ``docs``. All but the last return the columns of ``docs``.
 
 1. quality rules: lines that break a rule go from the text, documents that are rejected go whole.
-2. SimHash near-dedup over five-word shingles: 256-bit fingerprints link at up to 39 differing bits, the
-   expected distance at a Jaccard similarity of 0.8; of each component the smallest id stays, once.
+2. near-dedup over five-word shingles: documents link at an exact Jaccard similarity of 0.8 or more; of each
+   component the smallest id stays, once.
 3. suffix-array dedup: bytes of 400-byte strings that start more than once go from the text (characters
    that a cut runs through stay); documents without a word left go.
 4. benchmark decontamination: documents that contain 0.8 of the five-word shingles of an item go.
@@ -23,13 +23,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import SPACE_CLASS, Scratch, table
 from tessella.llm.decontaminate import contaminated_pairs
+from tessella.llm.near_sets import similar_texts
 from tessella.llm.packing import pack
 from tessella.llm.quality import quality_report
 from tessella.llm.repeats import repeated_spans
-from tessella.llm.simhash import near_duplicates
-
-#: Bits of 256 that may differ: 256 * arccos(2 * 0.8 / 1.8) / pi, rounded up.
-NEAR_BITS = 39
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -37,6 +34,16 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
 
 
+def _keyed(spark: SparkSession, docs: DataFrame, label: str) -> DataFrame:
+    """Packed rows with a unique ``key`` in the order of ids, null ids last: the id, or a number written with the row."""
+    rows = _packed(docs)
+    total, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if total == ids:
+        return rows.withColumn("key", F.col("doc_id"))
+    rows = rows.orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    return Scratch(spark, label).save(rows.withColumn("key", F.monotonically_increasing_id()), "rows")
+
+
 def _unpacked(rows: DataFrame, columns: list[str], text=None, keep: str | None = None) -> DataFrame:
     """The columns of documents again, with a new text where one is given; with ``keep`` as a struct next to that flag."""
     new = {} if text is None else {"text": text, "n_chars": F.length(text).cast("long")}
@@ -53,10 +60,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs.select("doc_id", "text"), Scratch(spark, "pipeline-near"), width=5, distance=NEAR_BITS, words=4, tables=40)
-    first = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = _packed(docs).drop("text")
-    return _unpacked(rows.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id"))).dropDuplicates(["doc_id"]), docs.columns)
+    rows = _keyed(spark, docs, "pipeline-near-rows")
+    found = similar_texts(rows.select(F.col("key").alias("doc_id"), "text"), Scratch(spark, "pipeline-near"))
+    first = found.groupBy("component_id").agg(F.min("doc_id").alias("kept_key")).select("kept_key")
+    return _unpacked(rows.drop("text").join(first, F.col("key") == F.col("kept_key")), docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
