@@ -38,6 +38,12 @@ def test_no_pair_at_the_similarity_stays(copies):
     assert all(d in left for d in shares)
 
 
+def test_texts_below_the_similarity_stay(copies):
+    shares, left = copies
+    below = [d for d, share in shares.items() if 0.75 <= share < 0.8]
+    assert len(below) >= 15 and all(d + 1 in left for d, share in shares.items() if share < 0.8)
+
+
 def test_large_groups_of_one_template(spark, tmp_path, monkeypatch):
     """Components are those of brute force where all texts share a template, whatever the blocks."""
     from tessella.llm.common import Scratch
