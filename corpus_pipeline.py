@@ -11,9 +11,9 @@ reads back as the next stage's ``docs``. All but the last return the columns of
 4. benchmark decontamination: documents that contain 0.8 of the five-word shingles of an item go.
 5. packing: pieces in length buckets and token-budget batches.
 
-``n_chars`` follows the text. Null texts are empty texts and fail the quality rules. Rows with a null id
-cannot be told apart: of each near-duplicate group of them one stays, if its group has no id. Repeated rows count
-as copies. Extra columns are carried along, whatever their names. Empty tables give empty results.
+``n_chars`` follows the text. Null texts are empty texts and fail the quality rules. Rows with a null id or one that
+others have too are judged each on its own: of a near-duplicate group the row with the smallest id stays, null ids last.
+Repeated rows count as copies. Extra columns are carried along, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -67,17 +67,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = repeated_spans(docs.select("doc_id", "text"), Scratch(spark, "pipeline-repeats"), keep_text=True)
-    cut = cut.filter("kept is not null").select(F.col("doc_id").alias("cut_id"), F.decode("kept", "UTF-8").alias("kept"))
-    rows = _packed(docs).join(cut, F.col("doc_id") == F.col("cut_id"), "left")
-    left = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.col("kept"))
-    return _unpacked(rows.filter(F.col("cut_id").isNull() | (F.regexp_replace("kept", SPACE_CLASS, "") != "")), docs.columns, left)
+    rows = _keyed(spark, docs, "pipeline-repeats-rows")
+    cut = repeated_spans(rows.select(F.col("key").alias("doc_id"), "text"), Scratch(spark, "pipeline-repeats"), keep_text=True)
+    cut = cut.filter("kept is not null").select(F.col("doc_id").alias("cut_key"), F.decode("kept", "UTF-8").alias("kept"))
+    rows = rows.join(cut, F.col("key") == F.col("cut_key"), "left")
+    left = F.when(F.col("cut_key").isNull(), F.col("text")).otherwise(F.col("kept"))
+    return _unpacked(rows.filter(F.col("cut_key").isNull() | (F.regexp_replace("kept", SPACE_CLASS, "") != "")), docs.columns, left)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pairs = contaminated_pairs(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks"))
-    leaks = pairs.select(F.col("doc_id").alias("leak_id")).distinct()
-    return _unpacked(_packed(docs).drop("text").join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti"), docs.columns)
+    rows = _keyed(spark, docs, "pipeline-leaks-rows")
+    pairs = contaminated_pairs(rows.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks"))
+    leaks = pairs.select(F.col("doc_id").alias("leak_key")).distinct()
+    return _unpacked(rows.drop("text").join(leaks, F.col("key") == F.col("leak_key"), "left_anti"), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,25 @@ def test_large_groups_of_one_template(spark, tmp_path, monkeypatch):
     for d in sets:
         want.setdefault(trees.root(d), set()).add(d)
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_alone(spark):
+    """Different texts stay, copies go once, repeated spans and leaks go from the rows that have them."""
+    rng = random.Random(7)
+    make = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(120))
+    one, two, three, four, five = (make() for _ in range(5))
+    rows = [(None, one), (None, two), (None, one), (7, three), (7, four), (8, five), (None, five)]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted([(True, 0, one), (True, 0, two), (False, 7, three), (False, 7, four), (False, 8, five)])
+
+    shared = make()
+    rows = [(None, f"{one} {shared}"), (7, f"{shared} {two}"), (7, three)]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    got = [r.text for r in corpus_pipeline.repeats(spark, docs, "").collect()]
+    assert len(got) == 3 and three in got and not [t for t in got if shared in t]
+
+    sf = "/root/testdata/sf0.001"
+    leak = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    docs = spark.createDataFrame([(None, leak, 1), (None, one, 1), (7, leak, 1), (7, two, 1)], "doc_id long, text string, n_chars long")
+    assert sorted(r.text for r in corpus_pipeline.decontaminate(spark, docs, sf).collect()) == sorted([one, two])
