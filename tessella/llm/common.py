@@ -91,6 +91,11 @@ def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files go when the action that made them ends; for steps that write what later ones read."""
+    return session_conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS):
     """Small Arrow batches while steps over whole texts run."""
     return session_conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows)

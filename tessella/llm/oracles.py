@@ -73,10 +73,14 @@ runs as (select rid, min(k) as a, max(k) + 400 as b from (select rid, k, sum(fre
   (select rid, k, case when k - lag(k) over (partition by rid order by k) <= 400 then 0 else 1 end as fresh from hit)) group by rid, g),
 gaps as (select rid, lag(b, 1, 0) over (partition by rid order by a) as a, a as b from runs union all select rid, max(b), null from runs group by rid),
 left_over as (select rid, string_agg(substr(h, 2 * gaps.a + 1, 2 * (coalesce(gaps.b, len(h) // 2) - gaps.a)), '' order by gaps.a) as kept from gaps join d using (rid) group by rid),
-gone as (select rid, sum(b - a) as n_removed, count(*) as n_spans from runs group by rid)
+gone as (select rid, sum(b - a) as n_removed, count(*) as n_spans from runs group by rid),
+words as (select row_number() over () as rid, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+passages as (select rid, k, md5_number(array_to_string(ws[k : k + 49], ' ')) as s from (select rid, ws, unnest(range(1, cast(len(ws) - 48 as bigint))) as k from words)),
+again as (select rid, k, k - lag(k) over (partition by rid order by k) as apart from (select rid, k, count(*) over (partition by s) as n from passages) where n > 1),
+told as (select rid, sum(least(coalesce(apart, 50), 50)) as n_passage_words from again group by rid)
 select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
-  sha256(unhex(case when gone.rid is null then h else coalesce(kept, '') end)) as kept_sha256
-from d left join gone using (rid) left join left_over using (rid)
+  sha256(unhex(case when gone.rid is null then h else coalesce(kept, '') end)) as kept_sha256, cast(coalesce(n_passage_words, 0) as bigint) as n_passage_words
+from d left join gone using (rid) left join left_over using (rid) left join told using (rid)
 """
 
 

@@ -13,7 +13,7 @@ from tessella.llm.decontaminate import contaminated_pairs
 from tessella.llm.language import identify
 from tessella.llm.packing import pack
 from tessella.llm.quality import line_quality
-from tessella.llm.repeats import repeated_spans
+from tessella.llm.repeats import Words, repeated_spans
 from tessella.llm.simhash import near_duplicates
 from tessella.llm.token_counts import count_tokens
 from tessella.llm.token_files import read_token_files, write_token_files
@@ -42,7 +42,7 @@ def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark, "repeats"))
+    return repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark, "repeats"), passages=Words())
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

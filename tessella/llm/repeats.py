@@ -1,28 +1,34 @@
-"""Suffix-array deduplication: removes every byte of a ``min_bytes`` string that also starts anywhere else.
+"""Suffix-array deduplication: removes what is covered by strings that also start anywhere else.
 
-Windows of ``min_bytes`` bytes must meet wherever they are equal, without a row for each byte:
+A *window* is ``size`` neighbouring tokens: bytes (:class:`Bytes`, the contract of op6) or words (:class:`Words`,
+passages, whatever white space is between the words). Equal windows must meet without a row for each of them:
 
 1. Equal texts become one (their digest), with the number of copies. A text with copies is repeated
    whole if it is long enough; it stays in the search for others.
-2. Every window is owned by its anchor, the least 64-byte gram in it by hash (the leftmost among equals).
+2. Every window is owned by its anchor, the least gram of ``gram`` tokens in it by hash (the leftmost among equals).
    Neighbouring windows with one anchor are one segment. Equal windows have equal anchors, so only segments
    of anchors that occur twice or more go on, a small part of a corpus of prose.
 3. Segments that are equal in whole become one, with their number; where an anchor has just that one, its
-   windows are repeated. Anchors with several distinct segments go to shards by a hash of the anchor, and each
-   shard is sorted by induced sorting with common prefixes (:mod:`tessella.llm.suffix_sort`), on disk
-   where it exceeds memory. A window is repeated if a neighbour shares ``min_bytes`` bytes or its segment
-   occurs more than once.
+   windows are repeated. Segments of other anchors are sorted by anchor, and suffix arrays with common prefixes are
+   induced (:mod:`tessella.llm.suffix_sort`) over as many whole anchors as ``batch_bytes`` hold. A window is
+   repeated if a neighbour shares it or its segment occurs more than once.
 4. Repeated windows go back to the texts, are united to spans, and the spans are cut out.
 
-Anchors with more than ``split_segments`` distinct segments (a line that many texts share) are dealt
-over many keys first: their windows get second anchors by another hash, which lie in what
-surrounds the common part, and equal windows agree on these, too.
+Hot anchors, with over ``split_segments`` distinct segments (a line that many texts share), never meet in one task:
+their segments are cut into pieces whose windows begin within ``width`` tokens of each other, as counted from the anchor. All
+windows of a piece hold the same core, which is the new key: cores that run over the common line are of one text only and
+are done with, equal pieces become one with their number, and what is still hot is cut by the next smaller width. At
+a width of 1 the core is the window itself, so that equal pieces are all that is left to find.
+
+Memory: a task holds ``batch_bytes`` and the segments of one anchor, at most ``split_segments``; partitions are streams
+sorted by Spark, so their number is bounded (``most_shards``, ``most_buckets``) whatever the corpus. The sorts' queues
+lie on the task's own disk beyond their memory limit; a lost executor's task sorts anew.
 
 Scale: texts cross one shuffle, combined before it, into a table bucketed by digest, which both later
 joins read without another shuffle. All else is narrow rows. Joins on anchors read written tables on both
 sides, so adaptive execution can split a hot one.
 
-Null text is empty text; texts shorter than ``min_bytes`` lose nothing. Repeated rows are copies. Null ids
+Null text is empty text; texts shorter than a window lose nothing. Repeated rows are copies. Null ids
 pass through. Extra columns are not read.
 """
 
@@ -31,172 +37,348 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, session_conf, text_batches
+from tessella.llm.common import Scratch, freed_shuffles, session_conf, text_batches
 from tessella.llm.suffix_sort import repeated_starts
 
-GRAM = 64
-#: Windows of a text that are anchored at once; bounds the arrays of very long texts.
+#: Windows that are anchored at once; bounds the arrays of very long texts.
 PIECE = 1 << 20
 _PLACE_BITS = 21  # PIECE + windows of one more window fit
+_SPACE = 32
 
 
-def gram_hashes(data: np.ndarray, seed: int) -> np.ndarray:
-    """Hashes of all GRAM-byte grams, by doubling from the 8 bytes at each place."""
-    n = len(data) - 7
-    if len(data) < GRAM:
-        return np.zeros(0, dtype=np.uint64)
-    padded = np.ascontiguousarray(data)
-    hashes = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (n, 8), (1, 1)).copy().view("<u8")[:, 0]
-    hashes = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
-    size = 8
-    while size < GRAM:
-        hashes ^= hashes >> np.uint64(31)
-        hashes = hashes[:-size] * np.uint64(0xD6E8FEB86659FD93) + hashes[size:]
-        size *= 2
-    hashes ^= hashes >> np.uint64(29)
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = hashes ^ (hashes >> np.uint64(29))
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     return hashes ^ (hashes >> np.uint64(32))
 
 
-def anchored(data: np.ndarray, min_bytes: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, number of windows) of each segment of a text."""
-    total = len(data) - min_bytes + 1
-    out = []
-    for start in range(0, max(total, 0), PIECE):
-        windows = min(PIECE, total - start)
-        hashes = gram_hashes(data[start : start + windows + min_bytes - 1], seed)
-        place = np.uint64((1 << _PLACE_BITS) - 1)
-        least = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
-        left, size = min_bytes - GRAM + 1, 1
-        while 2 * size <= left:
-            least = np.minimum(least[:-size], least[size:])
+@dataclass(frozen=True)
+class Bytes:
+    """Windows of ``size`` bytes, anchored by grams of ``gram`` bytes (8 times a power of two)."""
+
+    size: int = 400
+    gram: int = 64
+    widths: tuple[int, ...] = (64, 8, 1)
+
+    def view(self, content: bytes) -> tuple[bytes, np.ndarray]:
+        """What is compared, and the place of each token in it and of the end."""
+        return content, np.arange(len(content) + 1)
+
+    def grams(self, view: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The hash of the gram that begins with each token but the last, by doubling from 8 bytes."""
+        if len(view) < self.gram:
+            return np.zeros(0, dtype=np.uint64)
+        view = np.ascontiguousarray(view)
+        hashes = np.lib.stride_tricks.as_strided(view, (len(view) - 7, 8), (1, 1)).copy().view("<u8")[:, 0]
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        size = 8
+        while size < self.gram:
+            hashes ^= hashes >> np.uint64(31)
+            hashes = hashes[:-size] * np.uint64(0xD6E8FEB86659FD93) + hashes[size:]
             size *= 2
-        if left > size:
-            least = np.minimum(least[: -(left - size)], least[left - size :])
-        at = (least & place).astype(np.int64)
-        heads = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-        out.append((hashes[at[heads]], heads + start, np.diff(np.append(heads, windows))))
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return _mixed(hashes)
+
+    def starts(self, segment: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a segment's windows and their bytes."""
+        at = np.arange(len(segment) - self.size + 1)
+        return at, np.full(len(at), self.size)
+
+    def past(self, places: np.ndarray, window) -> np.ndarray:
+        """The end of a window by its number."""
+        return places[window + self.size]
+
+    def spans(self, content: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the tokens in the text itself."""
+        at = np.arange(len(content) + 1)
+        return at[:-1], at[1:]
+
+
+@dataclass(frozen=True)
+class Words:
+    """Windows of ``size`` words, anchored by grams of ``gram`` words; a space stands before and after each word."""
+
+    size: int = 50
+    gram: int = 8
+    widths: tuple[int, ...] = (8, 1)
+
+    def view(self, content: bytes) -> tuple[bytes, np.ndarray]:
+        view = b" " + b" ".join(content.split()) + b" " if content else b" "
+        return view, np.flatnonzero(np.frombuffer(view, np.uint8) == _SPACE)
+
+    def grams(self, view: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Differences of a running polynomial, brought to one scale by the inverse of its base."""
+        if len(places) <= self.gram:
+            return np.zeros(0, dtype=np.uint64)
+        base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+        powers = np.cumprod(np.full(len(view), base, dtype=np.uint64))
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((view.astype(np.uint64) + np.uint64(7)) * powers)])
+        back = np.cumprod(np.full(int(places[-1]) + 1, inverse, dtype=np.uint64))
+        first = places[: -self.gram]
+        return _mixed(_mixed((running[places[self.gram :]] - running[first]) * back[first]))
+
+    def starts(self, segment: bytes) -> tuple[np.ndarray, np.ndarray]:
+        spaces = np.flatnonzero(np.frombuffer(segment, np.uint8) == _SPACE)
+        windows = len(spaces) - self.size
+        return spaces[:windows], spaces[self.size :] + 1 - spaces[:windows]
+
+    def past(self, places: np.ndarray, window) -> np.ndarray:
+        return places[window + self.size] + 1
+
+    def spans(self, content: bytes) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(content, np.uint8)
+        inner = np.concatenate([[False], (data != _SPACE) & ((data < 9) | (data > 13)), [False]]).astype(np.int8)
+        edges = np.diff(inner)
+        return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def _owners(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """The place of the least of every ``reach`` neighbouring hashes, the leftmost among equals."""
+    place = np.uint64((1 << _PLACE_BITS) - 1)
+    least = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
+    size = 1
+    while 2 * size <= reach:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if reach > size:
+        least = np.minimum(least[: -(reach - size)], least[reach - size :])
+    return (least & place).astype(np.int64)
+
+
+def anchored(contents: list[bytes], unit) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(text, anchor hash, first window, windows, anchor's token from the first, bytes) of each segment of the texts.
+
+    Short texts are hashed together; windows never reach over a text's end.
+    """
+    held: list[tuple[int, bytes, np.ndarray]] = []
+    size = 0
+    for number, content in enumerate(contents):
+        view, places = unit.view(content)
+        if len(places) <= unit.size:
+            continue
+        if held and size + len(places) > PIECE:
+            yield from _anchored(held, unit)
+            held, size = [], 0
+        held.append((number, view, places))
+        size += len(places)
+    if held:
+        yield from _anchored(held, unit)
+
+
+def _anchored(held: list[tuple[int, bytes, np.ndarray]], unit) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """Segments of texts of at most PIECE tokens together, or of a single longer one."""
+    joined = held[0][1] if len(held) == 1 else b"".join(v for _, v, _ in held)
+    tokens = np.cumsum([0, *(len(p) for _, _, p in held)])  # a text's end counts as a token of it
+    offsets = np.cumsum([0, *(len(v) for _, v, _ in held)])
+    if len(held) > 1 and isinstance(unit, Bytes):  # the next text's first byte stands where this one ends
+        tokens = tokens - np.arange(len(tokens))
+        places = np.arange(len(joined) + 1)
+    else:
+        places = held[0][2] if len(held) == 1 else np.concatenate([p + o for (_, _, p), o in zip(held, offsets, strict=False)])
+    counts = np.array([len(p) - unit.size for _, _, p in held])
+    data, reach = np.frombuffer(joined, np.uint8), unit.size - unit.gram + 1
+    for start in range(0, int(tokens[len(held) - 1] + counts[-1]), PIECE):
+        upto = min(start + PIECE + unit.size, len(places))
+        own = places[start:upto]
+        hashes = unit.grams(data[own[0] : own[-1] + (1 if isinstance(unit, Words) else 0)], own - own[0])
+        at = _owners(hashes, reach)
+        # windows of this piece that lie inside a text
+        windows = np.concatenate([np.arange(max(start, t), min(start + PIECE, t + c)) for t, c in zip(tokens, counts, strict=False)])
+        if not len(windows):
+            continue
+        owner = at[windows - start]
+        text = np.searchsorted(tokens, windows, side="right") - 1
+        heads = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])])
+        size = np.diff(np.append(heads, len(windows)))
+        first = windows[heads]
+        begins, ends = places[first], unit.past(places, first + size - 1)
+        rows = zip(text[heads].tolist(), hashes[owner[heads]].view(np.int64).tolist(), (first - tokens[text[heads]]).tolist(), size.tolist(),
+                   (owner[heads] + start - first).tolist(), begins.tolist(), ends.tolist(), strict=True)
+        for k, anchor, window, n, spot, a, b in rows:
+            yield held[k][0], anchor, window, n, spot, joined[a:b]
 
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint64).view(np.int64)
+def _batches(rows: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _segments(min_bytes: int):
+def _segments(unit):
     """(tid, tid2, anchor, seg, start, windows) of each segment of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["tid", "tid2", "anchor", "seg", "start", "windows"]
+        hashed, long = xxhash.xxh3_64_intdigest, 1 << 63
+        names, kinds = ["tid", "tid2", "anchor", "seg", "start", "windows"], [pa.int64()] * 4 + [pa.int32()] * 2
         for batch in batches:
-            parts: list[list] = [[] for _ in names]
-            for tid, tid2, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                anchors, starts, windows = anchored(np.frombuffer(content, np.uint8), min_bytes, 0)
-                segs = np.fromiter((xxhash.xxh3_64_intdigest(content[a : a + w + min_bytes - 1]) for a, w in zip(starts.tolist(), windows.tolist(), strict=True)), np.uint64, len(starts))
-                size = len(starts)
-                for part, values in zip(parts, (np.full(size, tid), np.full(size, tid2, np.int64), _signed(anchors), _signed(segs), starts, windows), strict=True):
-                    part.append(values)
-            none = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + p).astype(np.int64)) for p in parts], names=names)
+            tid, tid2, contents = (c.to_pylist() for c in batch.columns)
+            rows = []
+            for k, anchor, start, windows, _, part in anchored(contents, unit):
+                seg = hashed(part)
+                rows.append((tid[k], tid2[k], anchor, seg - 2 * long if seg >= long else seg, start, windows))
+            yield _batches(rows, names, kinds)
 
     return run
 
 
-SEGMENT = "tid long, tid2 long, anchor long, seg long, start long, windows long"
+SEGMENT = "tid long, tid2 long, anchor long, seg long, start int, windows int"
+GROUP = "key long, anchor long, seg long, copies long, content binary"
+PIECES = "anchor long, seg long, first int, copies long, key long, piece long, spot int, windows int, content binary"
 
 
-def _cut(min_bytes: int):
-    """(key, anchor, seg, offset, copies, bytes) of the wanted segments of each text."""
+def _cut(unit):
+    """(key, anchor, seg, copies, bytes) of the wanted segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "anchor", "seg", "first", "copies", "content"]
-        kinds = [pa.int64()] * 5 + [pa.binary()]
+        names, kinds = ["key", "anchor", "seg", "copies", "content"], [pa.int64()] * 4 + [pa.binary()]
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
+            rows = []
             for content, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                view, places = unit.view(content)
                 for s in wanted:
-                    data = content[s["start"] : s["start"] + s["windows"] + min_bytes - 1]
-                    if s["split"]:
-                        anchors, starts, windows = anchored(np.frombuffer(data, np.uint8), min_bytes, 1)
-                        cuts = list(zip(_signed(anchors).tolist(), starts.tolist(), windows.tolist(), strict=True))
-                        keyed = [((s["anchor"] ^ k), a, data[a : a + w + min_bytes - 1]) for k, a, w in cuts]
-                    else:
-                        keyed = [(s["anchor"], 0, data)]
-                    for key, first, part in keyed:
-                        for row, value in zip(rows, (key, s["anchor"], s["seg"], first, s["copies"], part), strict=True):
-                            row.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=names)
+                    part = view[places[s["start"]] : unit.past(places, s["start"] + s["windows"] - 1)]
+                    rows.append((s["anchor"], s["anchor"], s["seg"], s["copies"], part))
+            yield _batches(rows, names, kinds)
+
+    return run
+
+
+def pieces(segment: bytes, spot: int, width: int, unit) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(first window, windows, core's number, core, bytes) of the pieces of a segment whose anchor is token ``spot``."""
+    view, places = segment, unit.view(segment)[1] if isinstance(unit, Bytes) else np.flatnonzero(np.frombuffer(segment, np.uint8) == _SPACE)
+    windows = len(places) - unit.size
+    most = unit.size - unit.gram  # tokens between a window's start and its anchor at most
+    for number in range((spot - windows + 1) // width, spot // width + 1):
+        low, high = number * width, min(number * width + width - 1, most)
+        first, last = max(0, spot - high), min(windows - 1, spot - low)
+        core = view[places[spot - low] : places[spot - high + unit.size]]
+        yield first, last - first + 1, number, core, view[places[first] : unit.past(places, last)]
+
+
+def _hot(unit, level: int, whole: bool):
+    """Pieces of hot segments: of texts with wanted segments (``whole``) or of larger pieces."""
+    names = ["anchor", "seg", "first", "copies", "key", "piece", "spot", "windows", "content"]
+    kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
+
+    def segments(batch):
+        if not whole:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            return
+        for content, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            view, places = unit.view(content)
+            for s in wanted:
+                part = view[places[s["start"]] : unit.past(places, s["start"] + s["windows"] - 1)]
+                # the segment's own tokens find the same anchor
+                inside = places[s["start"] : s["start"] + s["windows"] + unit.size] - places[s["start"]]
+                owner = _owners(unit.grams(np.frombuffer(part, np.uint8), inside), unit.size - unit.gram + 1)
+                yield s["anchor"], s["seg"], s["copies"], int(owner[0]), part
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for batch in batches:
+            rows = []
+            for anchor, seg, copies, spot, content in segments(batch):
+                for first, windows, number, core, part in pieces(content, spot, unit.widths[level], unit):
+                    key = xxhash.xxh3_64_intdigest(core, (anchor + number) & (1 << 63) - 1)
+                    rows.append((anchor, seg, first, copies, signed(key), signed(xxhash.xxh3_64_intdigest(part)), spot - first, windows, part))
+            yield _batches(rows, names, kinds)
 
     return run
 
 
-def repeated_ranges(segments: list[tuple[int, int, int, int, bytes]], min_bytes: int) -> list[tuple[int, int, int, int]]:
-    """(anchor, seg, first, past) ranges of repeated windows of a shard's (anchor, seg, first, copies, content)."""
+def repeated_ranges(segments: list[tuple[int, int, int, bytes]], unit) -> list[tuple[int, int, int, int]]:
+    """(anchor, seg, first, past) ranges of repeated windows among whole anchors' (anchor, seg, copies, bytes)."""
     if not segments:
         return []
-    lengths = np.array([len(s[4]) for s in segments], dtype=np.int64)
+    lengths = np.array([len(s[3]) for s in segments], dtype=np.int64)
     text = np.zeros(int(lengths.sum()) + len(segments) + 1, dtype=np.uint16)
+    need = np.zeros(len(text), dtype=np.int32)
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    windows = []
     for at, segment in zip(starts, segments, strict=True):
-        own = text[at : at + len(segment[4])]
-        own[:] = np.frombuffer(segment[4], np.uint8)
+        own = text[at : at + len(segment[3])]
+        own[:] = np.frombuffer(segment[3], np.uint8)
         own += 2
-        text[at + len(segment[4])] = 1
-    marked = repeated_starts(text, min_bytes)
+        text[at + len(segment[3])] = 1
+        places, size = unit.starts(segment[3])
+        need[at + places] = size
+        windows.append(at + places)
+    marked = repeated_starts(text, need)
     out = []
-    for at, (anchor, seg, first, copies, content) in zip(starts, segments, strict=True):
-        windows = len(content) - min_bytes + 1
+    for places, (anchor, seg, copies, _) in zip(windows, segments, strict=True):
         if copies > 1:
-            out.append((anchor, seg, first, first + windows))
+            out.append((anchor, seg, 0, len(places)))
             continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], marked[at : at + windows], [False]]).astype(np.int8)))
-        out += [(anchor, seg, first + int(a), first + int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], marked[places], [False]]).astype(np.int8)))
+        out += [(anchor, seg, int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     return out
 
 
-def _sort_shard(min_bytes: int):
+def _sort_groups(unit, batch_bytes: int):
+    """Sorts rows that come by key, whole keys of about ``batch_bytes`` at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "seg", "first", "past"]
-        rows = []
+        names, kinds = ["anchor", "seg", "first", "past"], [pa.int64()] * 2 + [pa.int32()] * 2
+        rows, size, last = [], 0, None
         for batch in batches:
-            rows += zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
-        found = repeated_ranges(rows, min_bytes)
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=names)
+            for key, anchor, seg, copies, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last and size >= batch_bytes:
+                    yield _batches(repeated_ranges(rows, unit), names, kinds)
+                    rows, size = [], 0
+                rows.append((anchor, seg, copies, content))
+                size += len(content)
+                last = key
+        yield _batches(repeated_ranges(rows, unit), names, kinds)
 
     return run
 
 
-def _cut_out(min_bytes: int, keep: bool):
-    """What is left of each text without its repeated windows."""
+def _gone(content: bytes, copies: int, ranges, unit) -> np.ndarray:
+    """Whether each token of a text is in a repeated window."""
+    starts, _ = unit.spans(content)
+    change = np.zeros(len(starts) + 1, dtype=np.int64)
+    if copies > 1 and len(starts) >= unit.size:
+        change[0], change[-1] = 1, -1
+    for r in ranges or ():
+        change[r["a"]] += 1
+        change[r["b"] - 1 + unit.size] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
+def _covered(content: bytes, gone: np.ndarray, unit) -> np.ndarray:
+    """Whether each byte lies in a run of gone tokens (with what is between them)."""
+    starts, ends = unit.spans(content)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    change = np.zeros(len(content) + 1, dtype=np.int8)
+    change[starts[edges[::2]]] = 1
+    change[ends[edges[1::2] - 1]] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
+def _cut_out(unit, passages, keep: bool):
+    """What is left of each text without its repeated windows; with ``passages`` the words of repeated passages, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["digest", "n_removed", "n_spans", "kept_sha256", "kept"]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = ["digest", "n_removed", "n_spans", "kept_sha256", "kept", "n_passage_words"]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            for digest, content, copies, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = np.zeros(len(content) + 1, dtype=np.int64)
-                if copies > 1:
-                    gone[0], gone[-1] = 1, -1
-                for r in ranges or ():
-                    gone[r["a"]] += 1
-                    gone[min(len(content), r["b"] - 1 + min_bytes)] -= 1
-                gone = np.cumsum(gone[:-1]) > 0
+            rows = []
+            for digest, content, copies, ranges, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                gone = _covered(content, _gone(content, copies, ranges, unit), unit)
                 spans = int((np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1).sum())
                 left = np.frombuffer(content, np.uint8)[~gone].tobytes()
-                for row, value in zip(rows, (digest, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), _whole_characters(content, gone) if keep else None), strict=True):
-                    row.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=names)
+                words = int(_gone(content, copies, more, passages).sum()) if passages else 0
+                rows.append((digest, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), _whole_characters(content, gone) if keep else None, words))
+            yield _batches(rows, names, kinds)
 
     return run
 
@@ -212,10 +394,10 @@ def _whole_characters(content: bytes, gone: np.ndarray) -> bytes:
 class _Bucketed:
     """The distinct long texts, bucketed by the ends of their digests; an external table in the scratch folder."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, rows: DataFrame, bucket_bytes: int):
+    def __init__(self, spark: SparkSession, scratch: Scratch, rows: DataFrame, bucket_bytes: int, most_buckets: int):
         self.spark, self.name = spark, f"tessella_texts_{uuid.uuid4().hex}"
         total = rows.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
-        self.buckets = max(8, -(-total // bucket_bytes))
+        self.buckets = min(most_buckets, max(8, -(-total // bucket_bytes)))
         keyed = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
         long_of = lambda at, size: F.conv(F.hex(F.substring("digest", at, size)), 16, 10).cast("long")
         keyed = keyed.withColumns({"tid": long_of(1, 6), "tid2": long_of(7, 6)})
@@ -223,69 +405,139 @@ class _Bucketed:
         with session_conf(spark, spark__sql__shuffle__partitions=self.buckets, spark__sql__adaptive__coalescePartitions__enabled="false"):
             distinct.write.bucketBy(int(self.buckets), "tid", "tid2").option("path", scratch.path("texts")).format("parquet").saveAsTable(self.name)
 
+    def __enter__(self) -> _Bucketed:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+    def with_lists(self, rows: DataFrame, name: str, value, how: str = "inner") -> DataFrame:
+        """The texts with the lists of ``value`` that rows (tid, tid2, ...) have for them."""
+        lists = rows.groupBy(F.col("tid").alias("t"), F.col("tid2").alias("t2")).agg(F.collect_list(value).alias(name))
+        return self.read().join(lists, (F.col("tid") == F.col("t")) & (F.col("tid2") == F.col("t2")), how).drop("t", "t2")
+
+
+@dataclass(frozen=True)
+class _Search:
+    """The search for one kind of windows over the bucketed texts."""
+
+    texts: _Bucketed
+    scratch: Scratch
+    unit: Bytes | Words
+    batch_bytes: int
+    shard_bytes: int
+    split_segments: int
+    most_shards: int
+
+    def _sorted(self, groups: DataFrame, load: int) -> DataFrame:
+        shards = min(self.most_shards, max(1, -(-load // self.shard_bytes)))
+        dealt = groups.repartition(int(shards), "key").sortWithinPartitions("key")
+        return dealt.mapInArrow(_sort_groups(self.unit, self.batch_bytes), "anchor long, seg long, first int, past int")
+
+    def _hot_marks(self, found: DataFrame, level: int) -> DataFrame:
+        """Marks of hot segments' pieces (PIECES), by their owners' anchor, seg and first window."""
+        scratch, unit = self.scratch, self.unit
+        owners = scratch.save(found, f"hot-{level}")
+        distinct = owners.groupBy("key", "piece").agg(F.sum("copies").alias("copies"), F.first("spot").alias("spot"), F.first("windows").alias("windows"), F.first("content").alias("content"))
+        kinds = owners.select("key", "piece").distinct().groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("kinds"))
+        distinct = scratch.save(distinct.join(kinds, F.col("key") == F.col("k")).drop("k"), f"hot-pieces-{level}")
+        last = level + 1 == len(unit.widths)
+        # at the last width pieces of one key are equal but for collisions of 64 bits, so they are never split
+        split = F.lit(False) if last else F.col("kinds") > self.split_segments
+        marks = distinct.filter("copies > 1").select("key", "piece", F.lit(0).alias("first"), F.col("windows").alias("past"))
+        several = distinct.filter((F.col("kinds") > 1) & ~split)
+        load = several.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
+        if load:
+            groups = several.select("key", F.col("key").alias("anchor"), F.col("piece").alias("seg"), F.lit(1).cast("long").alias("copies"), "content")
+            marks = marks.union(self._sorted(groups, load))
+        if not last:
+            deeper = distinct.filter(split).select("key", "piece", "copies", "spot", "content")
+            if deeper.take(1):
+                marks = marks.union(self._hot_marks(deeper.mapInArrow(_hot(unit, level + 1, False), PIECES), level + 1))
+        marks = scratch.save(marks.toDF("mk", "mp", "a", "b"), f"hot-marks-{level}")
+        met = owners.join(marks, (F.col("key") == F.col("mk")) & (F.col("piece") == F.col("mp")))
+        return met.select("anchor", "seg", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("past"))
+
+    def ranges(self) -> DataFrame:
+        """(tid, tid2, r) of every range of repeated windows: struct(a, b), the first and the one past the last."""
+        spark, scratch, unit = self.texts.spark, self.scratch, self.unit
+        with text_batches(spark):
+            segments = scratch.save(self.texts.read().select("tid", "tid2", "content").mapInArrow(_segments(unit), SEGMENT), "segments")
+        twice = scratch.save(segments.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("k")), "twice")
+        shared = scratch.save(segments.join(twice, F.col("anchor") == F.col("k")).drop("k"), "shared")
+        scratch.drop("segments", "twice")
+        distinct = shared.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("tid", "tid2", "start", "windows")).alias("at"))
+        distinct = scratch.save(distinct, "distinct")
+        sizes = scratch.save(distinct.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("at.windows").cast("long")).alias("w")).filter("kinds > 1"), "sizes")
+        joined = distinct.join(sizes, F.col("anchor") == F.col("k"), "left")
+        marks = joined.filter("kinds is null and copies > 1").select("anchor", "seg", F.lit(0).alias("first"), F.col("at.windows").alias("past"))
+        hot = F.col("kinds") > self.split_segments
+        token = 1 if isinstance(unit, Bytes) else 7  # bytes, about
+        load, hottest = sizes.agg(F.sum(F.when(~hot, F.col("w") + F.col("kinds") * unit.size)), F.max("kinds")).first()
+        with text_batches(spark):
+            several = joined.filter("kinds is not null").select(F.col("at.tid").alias("tid"), F.col("at.tid2").alias("tid2"), hot.alias("hot"),
+                F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "anchor", "seg", "copies").alias("s"))
+            if load:
+                cut = self.texts.with_lists(several.filter("not hot"), "wanted", "s").select("content", "wanted")
+                marks = marks.union(self._sorted(cut.mapInArrow(_cut(unit), GROUP), int(load) * token))
+            if (hottest or 0) > self.split_segments:
+                cut = self.texts.with_lists(several.filter("hot"), "wanted", "s").select("content", "wanted")
+                marks = marks.union(self._hot_marks(cut.mapInArrow(_hot(unit, 0, True), PIECES), 0))
+            marks = scratch.save(marks.withColumnsRenamed({"anchor": "k", "seg": "ks"}), "marks")
+            spots = shared.join(marks, (F.col("anchor") == F.col("k")) & (F.col("seg") == F.col("ks")))
+            spots = scratch.save(spots.select("tid", "tid2", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("past")).alias("b")).alias("r")), "ranges")
+        scratch.drop("shared", "distinct", "sizes", "marks")
+        return spots
 
 
 def repeated_spans(
     docs: DataFrame,
     scratch: Scratch,
-    min_bytes: int = 400,
+    unit: Bytes | Words = Bytes(),
+    passages: Words | None = None,
     keep_text: bool = False,
-    shard_bytes: int = 3 << 19,
+    batch_bytes: int = 3 << 19,
+    shard_bytes: int = 8 << 20,
     bucket_bytes: int = 24 << 20,
-    split_segments: int = 2000,
+    split_segments: int = 250,
+    most_shards: int = 20000,
+    most_buckets: int = 20000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with ``keep_text`` also ``kept``, the text left
-    (characters that a span cuts through stay whole; null where nothing was removed)."""
-    if min_bytes < 2 * GRAM:
-        raise ValueError(f"min_bytes must be at least {2 * GRAM}")
+    """doc_id, n_bytes, n_removed (bytes), n_spans, kept_sha256 of every document.
+
+    With ``passages`` also ``n_passage_words``, the words of passages of that many words that start elsewhere, too; nothing of
+    these is removed on their account. With ``keep_text`` also ``kept``, the text left (characters that a span cuts
+    through stay whole; null where nothing was removed).
+    """
+    if unit.size < 2 * unit.gram:
+        raise ValueError(f"windows must hold at least {2 * unit.gram} tokens")
     spark = docs.sparkSession
     content = F.encode(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "UTF-8")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), content.alias("content")).withColumn("n_bytes", F.octet_length("content").cast("long"))
     index = scratch.save(rows.select("doc_id", "n_bytes", F.unhex(F.sha2("content", 256)).alias("digest")), "index")
-    texts = _Bucketed(spark, scratch, rows.filter(F.col("n_bytes") >= min_bytes).select("content"), bucket_bytes)
-
-    with text_batches(spark):
-        found = texts.read().select("tid", "tid2", "content").mapInArrow(_segments(min_bytes), SEGMENT)
-        segments = scratch.save(found, "segments")
-    twice = scratch.save(segments.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("k")), "twice")
-    shared = scratch.save(segments.join(twice, F.col("anchor") == F.col("k")).drop("k"), "shared")
-    scratch.drop("segments", "twice")
-    distinct = shared.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("tid", "tid2", "start", "windows")).alias("at"))
-    distinct = scratch.save(distinct, "distinct")
-    sizes = scratch.save(distinct.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("at.windows").alias("w")).filter("kinds > 1"), "sizes")
-    joined = distinct.join(sizes, F.col("anchor") == F.col("k"), "left")
-    alone = joined.filter("kinds is null and copies > 1").select("anchor", "seg", F.lit(0).cast("long").alias("first"), F.col("at.windows").alias("past"))
-    several = joined.filter("kinds is not null").select(
-        F.col("at.tid").alias("t"), F.col("at.tid2").alias("t2"),
-        F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "anchor", "seg", "copies", (F.col("kinds") > split_segments).alias("split")).alias("s"),
-    )
-    wanted = several.groupBy("t", "t2").agg(F.collect_list("s").alias("wanted"))
-    load = sizes.agg(F.sum(F.col("w") + F.col("kinds") * (min_bytes - 1))).first()[0] or 0
-    shards = max(1, -(-int(load) // shard_bytes))
-    with text_batches(spark):
-        cut = texts.read().join(wanted, (F.col("tid") == F.col("t")) & (F.col("tid2") == F.col("t2"))).select("content", "wanted")
-        cut = cut.mapInArrow(_cut(min_bytes), "key long, anchor long, seg long, first long, copies long, content binary")
-        sorted_shards = cut.repartition(int(shards), "key").mapInArrow(_sort_shard(min_bytes), "anchor long, seg long, first long, past long")
-        marks = scratch.save(alone.union(sorted_shards).withColumnsRenamed({"anchor": "k", "seg": "ks"}), "marks")
-        spots = shared.join(marks, (F.col("anchor") == F.col("k")) & (F.col("seg") == F.col("ks")))
-        spots = spots.select("tid", "tid2", F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("past")).alias("b")).alias("r"))
-        ranges = spots.groupBy(F.col("tid").alias("t"), F.col("tid2").alias("t2")).agg(F.collect_list("r").alias("ranges"))
-        held = texts.read().join(ranges, (F.col("tid") == F.col("t")) & (F.col("tid2") == F.col("t2")), "left").filter("copies > 1 or ranges is not null")
-        cleaned = held.select("digest", "content", "copies", "ranges").mapInArrow(
-            _cut_out(min_bytes, keep_text), "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
-        )
-        cleaned = scratch.save(cleaned.withColumnRenamed("digest", "d"), "cleaned")
-    texts.drop()
-    scratch.drop("texts", "shared", "distinct", "sizes", "marks")
+    least = min(u.size if isinstance(u, Bytes) else 2 * u.size - 1 for u in (unit, passages) if u)
+    with freed_shuffles(spark), _Bucketed(spark, scratch, rows.filter(F.col("n_bytes") >= least).select("content"), bucket_bytes, most_buckets) as texts:
+        search = lambda u, name: _Search(texts, Scratch(spark, f"repeats-{name}"), u, batch_bytes, shard_bytes, split_segments, most_shards).ranges()
+        found = search(unit, "windows").select("tid", "tid2", F.lit(False).alias("more"), "r")
+        if passages:
+            found = found.union(search(passages, "passages").select("tid", "tid2", F.lit(True), "r"))
+        with text_batches(spark):
+            held = texts.with_lists(found, "found", F.struct("more", "r"), "left").filter("copies > 1 or found is not null")
+            of = lambda more: F.transform(F.filter("found", lambda x: x["more"] if more else ~x["more"]), lambda x: x["r"])
+            cleaned = held.select("digest", "content", "copies", of(False).alias("ranges"), of(True).alias("passages")).mapInArrow(
+                _cut_out(unit, passages, keep_text), "digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary, n_passage_words long"
+            )
+            cleaned = scratch.save(cleaned.withColumnRenamed("digest", "d"), "cleaned")
+    scratch.drop("texts")
+    none = F.lit(0).cast("long")
     out = index.join(cleaned, F.col("digest") == F.col("d"), "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"), "kept",
+        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("kept_sha256", F.lower(F.hex("digest"))).alias("kept_sha256"), F.coalesce("n_passage_words", none).alias("n_passage_words"),
+        F.when(F.col("n_removed") > 0, F.col("kept")).alias("kept"),
     )
-    return out if keep_text else out.drop("kept")
+    return out.drop(*([] if passages else ["n_passage_words"]), *([] if keep_text else ["kept"]))

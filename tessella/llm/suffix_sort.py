@@ -119,73 +119,97 @@ def s_types(text: np.ndarray) -> np.ndarray:
     return np.repeat(rises[ends], np.diff(np.concatenate([[-1], ends])))
 
 
-def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks of keys among the different ones, in 32 bits, and how many there are."""
-    order = np.argsort(keys, kind="stable").astype(np.int32)
-    ranked = keys[order]
-    del keys
-    fresh = np.ones(len(ranked), dtype=bool)
+def _ranks(keys: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """Ranks of keys below ``2 ** bits`` among the different ones, in 32 bits, and how many there are."""
+    place = max(1, (len(keys) - 1).bit_length())
+    if bits + place <= 64:  # key and place in one number: a plain sort moves eight bytes a key
+        packed = np.sort((keys.astype(np.uint64) << np.uint64(place)) | np.arange(len(keys), dtype=np.uint64))
+        order, ranked = (packed & np.uint64((1 << place) - 1)).astype(np.int64), packed >> np.uint64(place)
+        del packed
+    else:
+        order = np.argsort(keys)
+        ranked = keys[order]
+    fresh = np.ones(len(ranked), dtype=np.int32)
     fresh[1:] = ranked[1:] != ranked[:-1]
     del ranked
     names = np.empty(len(order), dtype=np.int32)
-    names[order] = np.cumsum(fresh, dtype=np.int32) - 1
-    return names, int(fresh.sum())
+    numbers = np.cumsum(fresh, dtype=np.int32)
+    names[order] = numbers - 1
+    return names, int(numbers[-1])
+
+
+def _paired(first: np.ndarray, second: np.ndarray, kinds: int, others: int) -> tuple[np.ndarray, int]:
+    """Ranks of pairs of a rank below ``kinds`` and a number below ``others``."""
+    low = max(1, (others - 1).bit_length())
+    return _ranks((first.astype(np.uint64) << np.uint64(low)) | second.astype(np.uint64), low + max(1, (kinds - 1).bit_length()))
+
+
+def _named(text: np.ndarray, lms: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of the LMS substrings: as many symbols at once as a key holds, further ones only where substrings go on.
+
+    Where one substring ends and another goes on with the same symbols, the place is S-type in the first and L-type in
+    the other, so the end counts as greater than any symbol.
+    """
+    n, count = len(text), len(lms)
+    present = np.flatnonzero(np.bincount(text))
+    code = np.zeros(int(present[-1]) + 1, dtype=np.uint64)
+    code[present] = np.arange(len(present))
+    end = len(present)
+    width = max(1, end.bit_length())
+    per_key, longest = 64 // width, int(lengths.max())
+    names, kinds, at = np.zeros(count, dtype=np.int32), 1, 0
+    while at < longest:
+        taken = min(per_key, longest - at)
+        key = np.zeros(count, dtype=np.uint64)
+        for k in range(at, at + taken):
+            symbol = code[text[np.minimum(lms + k, n - 1)]]
+            symbol[lengths <= k] = end
+            key = (key << np.uint64(width)) | symbol
+        fresh, more = _ranks(key, width * taken)
+        names, kinds = (fresh, more) if not at else _paired(names, fresh, kinds, more)
+        at += taken
+        if kinds == count:
+            break
+    return names, kinds
 
 
 def sort_lms(text: np.ndarray, lms: np.ndarray, depth: int, spill: Spill) -> tuple[np.ndarray, np.ndarray]:
     """Order of the LMS suffixes (as places in ``lms``) to ``depth`` symbols, and common prefixes of neighbours."""
     n, count = len(text), len(lms)
-    ends = np.append(lms[1:] + 1, n)  # an LMS substring ends with the next LMS symbol
-    lengths = ends - lms
-    # symbols are below 512. Where one substring ends and another goes on with the same symbols, the
-    # place is S-type in the first and L-type in the other, so the end counts as greater than any symbol
-    per_key, width, end = 6, 10, 1023
-    names, at = np.zeros(count, dtype=np.int32), 0
-    longest = int(lengths.max())
-    while at < longest:
-        key = np.zeros(count, dtype=np.int64)
-        for k in range(at, at + per_key):
-            inside = lengths > k
-            symbol = np.where(inside, text[np.minimum(lms + k, n - 1)].astype(np.int64), end)
-            key = (key << width) | symbol
-        fresh, kinds = _dense(key)
-        names, total = _dense(names.astype(np.int64) * kinds + fresh)
-        at += per_key
+    names, total = _named(text, lms, np.append(lms[1:] + 1, n) - lms)  # an LMS substring ends with the next LMS symbol
     # symbols that 2 ** round substrings span, without the one that the next shares
     rounds = [spill.keep(names)]
     steps = np.append(np.diff(lms), n - lms[-1])
     reach = [spill.keep(np.minimum(steps, depth).astype(np.int32))]
-    total = int(names.max()) + 1
-    while ((np.bincount(names)[names] > 1) & (reach[-1] < depth)).any():
+    while total < count and ((np.bincount(names)[names] > 1) & (reach[-1] < depth)).any():
         hop = 1 << (len(rounds) - 1)
-        after = np.full(count, -1, dtype=np.int64)
+        after = np.zeros(count, dtype=np.int64)
         after[:-hop] = rounds[-1][hop:]
-        names, total = _dense(rounds[-1].astype(np.int64) * (total + 1) + after + 1)
+        after[:-hop] += 1
+        names, total = _paired(rounds[-1], after, total, total + 1)
         span = np.array(reach[-1])
         span[:-hop] += reach[-1][hop:]
         rounds.append(spill.keep(names))
         reach.append(spill.keep(np.minimum(span, depth)))
     order = np.argsort(rounds[-1], kind="stable").astype(np.int64)
     # neighbours: the longest equal stretches first, then symbol by symbol inside the substring that differs
-    a, b = order[:-1].copy(), order[1:].copy()
-    prefix = np.zeros(count, dtype=np.int32)
     shared = np.zeros(count - 1, dtype=np.int64)
+    moved = np.zeros(count - 1, dtype=np.int64)  # substrings passed
     for k in range(len(rounds) - 1, -1, -1):
-        same = (a < count) & (b < count)
-        same[same] = rounds[k][a[same]] == rounds[k][b[same]]
-        shared[same] += reach[k][a[same]]
-        a[same] += 1 << k
-        b[same] += 1 << k
-    x, y = order[:-1], order[1:]
+        live = np.flatnonzero((shared < depth) & (order[:-1] + moved < count) & (order[1:] + moved < count))
+        a, b = order[live] + moved[live], order[live + 1] + moved[live]
+        same = rounds[k][a] == rounds[k][b]
+        live = live[same]
+        shared[live] += reach[k][a[same]]
+        moved[live] += 1 << k
     live = np.flatnonzero(shared < depth)
+    p, q = lms[order[live]] + shared[live], lms[order[live + 1]] + shared[live]
     while len(live):
-        p, q = lms[x[live]] + shared[live], lms[y[live]] + shared[live]
-        inside = (p < n) & (q < n)
-        live, p, q = live[inside], p[inside], q[inside]
-        equal = text[p] == text[q]
-        live = live[equal]
+        equal = (np.maximum(p, q) < n) & (shared[live] < depth)
+        equal[equal] = text[p[equal]] == text[q[equal]]
+        live, p, q = live[equal], p[equal] + 1, q[equal] + 1
         shared[live] += 1
-        live = live[shared[live] < depth]
+    prefix = np.zeros(count, dtype=np.int32)
     prefix[1:] = np.minimum(shared, depth)
     return order, prefix
 
@@ -311,21 +335,31 @@ def induced_order(text: np.ndarray, depth: int, spill: Spill) -> Iterator[tuple[
         queue.close()
 
 
-def repeated_starts(text: np.ndarray, depth: int, memory_bytes: int = MEMORY_BYTES) -> np.ndarray:
-    """Whether the ``depth`` symbols from each place also start at another place.
+def repeated_starts(text: np.ndarray, need, memory_bytes: int = MEMORY_BYTES) -> np.ndarray:
+    """Whether the ``need`` symbols from each place also start at another place.
 
-    Places with fewer symbols left hold False. ``text`` must end with a unique least symbol 0.
+    ``need`` is one number or one for each place, 0 where nothing is asked. Places with fewer symbols left hold False.
+    ``text`` must end with a unique least symbol 0.
     """
     spill = Spill(memory_bytes)
     try:
         text = spill.keep(text)
+        if np.ndim(need):
+            need, depth = spill.keep(np.asarray(need, dtype=np.int32)), int(need.max())
+            asked = lambda at: np.where(need[at] > 0, need[at], depth + 1)
+        else:
+            depth = int(need)
+            asked = lambda at: depth
         marked = spill.array(len(text), bool)
+        if depth < 1:
+            return np.array(marked)
         last = None
         for positions, prefixes in induced_order(text, depth, spill):
-            deep = prefixes >= depth
-            marked[positions[deep]] = True
-            marked[positions[:-1][deep[1:]]] = True
-            if last is not None and deep[0]:
+            least = asked(positions)
+            marked[positions[prefixes >= least]] = True
+            after = positions[:-1]
+            marked[after[prefixes[1:] >= asked(after)]] = True
+            if last is not None and prefixes[0] >= np.max(asked(np.array([last]))):
                 marked[last] = True
             last = int(positions[-1])
         return np.array(marked)

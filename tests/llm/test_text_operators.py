@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -234,35 +235,86 @@ def test_induced_sorting_against_brute_force():
         suffix_sort.BATCH = before
 
 
-@pytest.mark.parametrize("split", [0, 2000])
+def brute_passages(texts, size):
+    """Words of each text in passages of ``size`` words that also start elsewhere, and what is left without them."""
+    words = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    seen = collections.Counter(tuple(x[2] for x in w[i : i + size]) for w in words for i in range(len(w) - size + 1))
+    out = []
+    for t, w in zip(texts, words, strict=True):
+        gone = {k for i in range(len(w) - size + 1) if seen[tuple(x[2] for x in w[i : i + size])] > 1 for k in range(i, i + size)}
+        left, at = b"", 0
+        for k in sorted(gone):
+            if k - 1 not in gone:
+                left, at = left + t[at : w[k][0]], w[k][0]
+            if k + 1 not in gone:
+                at = w[k][1]
+        out.append((len(gone), left + t[at:]))
+    return out
+
+
+@pytest.mark.parametrize("split", [0, 1, 250])
 def test_repeated_spans(spark, docs, texts, split):
-    got = by_id(repeats.repeated_spans(docs, Scratch(spark, "t-repeats"), split_segments=split, shard_bytes=4000, keep_text=True))
+    got = by_id(repeats.repeated_spans(docs, Scratch(spark, "t-repeats"), passages=repeats.Words(), split_segments=split, shard_bytes=4000, batch_bytes=900, keep_text=True))
     bodies = [(t or "").encode() for t in texts] + [b"no id at all."]
+    passages = brute_passages(bodies, 50)
     for k, (t, want) in enumerate(zip(bodies, brute_repeats(bodies, 400), strict=True)):
         r = got[k * 7 if k < len(texts) else None]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), *want), k
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) == (len(t), *want, passages[k][0]), k
         if r.n_removed:
             r.kept.decode()
 
 
-def test_repeated_spans_in_pieces(spark, none, monkeypatch):
-    monkeypatch.setattr(repeats, "PIECE", 700)
+@pytest.mark.parametrize("split", [0, 250])
+def test_repeated_passages(spark, texts, split):
+    """Windows of words, whatever the white space between them; spans are cut from the text as it is."""
+    rng = random.Random(3)
+    shared = [prose(rng, n).split() for n in (20, 60, 51)]
+    spread = lambda ws: "".join(w + rng.choice([" ", "\n", "\t ", "  "]) for w in ws)
+    bodies = [(t or "") for t in texts] + [prose(rng, rng.randrange(30)) + " " + spread(rng.choice(shared)) + prose(rng, rng.randrange(30)) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    got = by_id(repeats.repeated_spans(rows, Scratch(spark, "t-passages"), unit=repeats.Words(20, 4), keep_text=True, split_segments=split, batch_bytes=900))
+    for k, (t, (words, left)) in enumerate(zip(bodies, brute_passages([b.encode() for b in bodies], 20), strict=True)):
+        assert got[k].n_removed == len(t.encode()) - len(left) and (not words or bytes(got[k].kept) == left), k
+        assert got[k].kept_sha256 == hashlib.sha256(left).hexdigest()
+
+
+@pytest.mark.parametrize("unit", [repeats.Bytes(), repeats.Words(40, 6)])
+def test_repeated_spans_in_pieces(spark, none, monkeypatch, unit):
+    """Segments, and pieces of them at every width, cover each window once and hold its core."""
     rng = random.Random(8)
     body = prose(rng, 800)
-    bodies = [body.encode(), (prose(rng, 30) + body[500:3300] + prose(rng, 30)).encode(), ("ab" * 1500).encode()]
-    cuts = [repeats.anchored(np.frombuffer(b, np.uint8), 400, 0) for b in bodies]
-    for b, (_, starts, windows) in zip(bodies, cuts, strict=True):
-        assert starts.tolist() == [0, *np.cumsum(windows)[:-1].tolist()] and int(windows.sum()) == len(b) - 399
-    rows = [(int(a), k * 1000 + i, 0, 1, bodies[k][s : s + w + 399]) for k, (an, st, wi) in enumerate(cuts) for i, (a, s, w) in enumerate(zip(an.view(np.int64).tolist(), st.tolist(), wi.tolist(), strict=True))]
-    marks = collections.defaultdict(list)
-    for _, seg, first, past in repeats.repeated_ranges(rows, 400):
-        marks[seg].append((first, past))
-    seen = collections.Counter(b[i : i + 400] for b in bodies for i in range(len(b) - 399))
-    for k, (_, st, wi) in enumerate(cuts):
-        for i, (s, w) in enumerate(zip(st.tolist(), wi.tolist(), strict=True)):
-            found = {s + x for a, p in marks[k * 1000 + i] for x in range(a, p)}
-            assert found == {s + x for x in range(w) if seen[bodies[k][s + x : s + x + 400]] > 1}
-    assert repeats.repeated_spans(none, Scratch(spark, "t-repeats")).count() == 0
+    bodies = [body.encode(), (prose(rng, 30) + body[500:3300] + prose(rng, 30)).encode(), ("ab" * 1500).encode(), ("x y " * 90).encode(), b"short"]
+    views = [unit.view(b) for b in bodies]
+    window = lambda k, i: views[k][0][views[k][1][i] : unit.past(views[k][1], i)]
+    count = [max(0, len(places) - unit.size) for _, places in views]
+    seen = collections.Counter(window(k, i) for k in range(len(bodies)) for i in range(count[k]))
+    for piece in (1 << 20, 700):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        cuts = list(repeats.anchored(bodies, unit))
+        assert sorted((k, i) for k, _, a, n, _, _ in cuts for i in range(a, a + n)) == [(k, i) for k in range(len(bodies)) for i in range(count[k])]
+        marks = collections.defaultdict(list)
+        for _, seg, first, past in repeats.repeated_ranges([(c[1], j, 1, c[5]) for j, c in enumerate(cuts)], unit):
+            marks[seg].append((first, past))
+        for j, (k, _, a, n, spot, part) in enumerate(cuts):
+            found = {x for p, q in marks[j] for x in range(p, q)}
+            assert found == {x for x in range(n) if seen[window(k, a + x)] > 1}
+            for width in unit.widths:
+                parts = list(repeats.pieces(part, spot, width, unit))
+                assert sorted(x for first, m, *_ in parts for x in range(first, first + m)) == list(range(n))
+                assert all(core in window(k, a + x) for first, m, _, core, _ in parts for x in range(first, first + m))
+    assert repeats.repeated_spans(none, Scratch(spark, "t-repeats"), unit=unit).count() == 0
+
+
+def test_a_passage_in_many_texts(spark):
+    """A hot anchor's segments are cut until no key holds more than ``split_segments`` of them."""
+    rng = random.Random(12)
+    passage = prose(rng, 75)
+    bodies = [f"{prose(rng, 60)} {passage[: rng.choice([300, 390, 420, 500, len(passage)])]} {prose(rng, 60)}".encode() for _ in range(120)]
+    rows = spark.createDataFrame([(k, b.decode()) for k, b in enumerate(bodies)], "doc_id long, text string")
+    got = by_id(repeats.repeated_spans(rows, Scratch(spark, "t-hot"), passages=repeats.Words(), split_segments=10))
+    words = brute_passages(bodies, 50)
+    for k, want in enumerate(brute_repeats(bodies, 400)):
+        assert (got[k].n_removed, got[k].n_spans, got[k].kept_sha256, got[k].n_passage_words) == (*want, words[k][0])
 
 
 # near duplicates
