@@ -1,22 +1,22 @@
-"""Near duplicates at an exact Jaccard similarity of word shingles.
-
-Two texts link if ``(|A & B|) / (|A | B|) >= num / den`` over their sets of shingles (XXH64 of lower-cased words, as in
-:mod:`tessella.llm.simhash`; sets and shingles are told apart by 64 bits). No link is lost and none is added:
-
-Candidates: the shingles of every set are put in one common order. Sets that are similar enough share one of their first
-``n - ceil(n * num / den) + 1`` shingles (prefix filter), and of the places of any shingle they share there follows how many
-they can share at all (positional filter, which bounds the sizes too). The order puts shingles that a sample finds
-common last, by how common they are; the sample only shapes the order: every order finds every link.
-
-Of what is left, bitmaps give a bound: the bins in which the parities of two sets' shingles differ are no more than the
-shingles that only one of them has.
-
-Links: candidates are verified on the whole sets. First every set meets FIRST others of its buckets at most, which joins
-most of a large group of near copies; then all candidates whose components still differ are verified. Copies of a text are
-one set.
-
-Null text is empty text; empty sets are equal. Texts with fewer words than a shingle are one sequence.
-Ids must be unique and not null. Extra columns are not read.
+"""Near duplicates at an exact Jaccard similarity of word shingles, by SimHash first and by prefixes for the rest.
+
+Two texts link if ``|A & B| / |A | B| >= num / den`` over their sets of shingles (64-bit hashes of lower-cased words;
+sets and shingles are told apart by 64 bits). No link is lost and none is added:
+
+1. Every distinct set gets a SimHash fingerprint. The pigeonhole search of :mod:`tessella.llm.simhash` probes for
+   fingerprints within ``distance`` bits, its links are verified on the whole sets, and components follow. That joins most
+   copies with small changes, however large their group, at a few rows a text.
+2. Fingerprints of sets at a similarity of 0.8 lie some 10 of 64 bits apart, with a spread that no planned pigeonhole
+   search can probe, so links between different components of step 1 are found exactly: the shingles of every set are put
+   in one common order, and sets that are similar enough share one of their first ``n - ceil(n * num / den) + 1`` (prefix
+   filter). The places of a shared one tell how many they can share at all (positional filter, which bounds
+   the sizes too), and bitmaps of the parity of shingles in bins tell how many only one of them must have. The order puts
+   shingles that a sample finds common last; the sample only shapes the order: every order finds every link.
+3. Candidates of different components are verified on the whole sets: first a spanning forest of those of each shingle,
+   at most a row less than its rows, then all that are still apart.
+
+Copies of a text are one set. Null text is empty text; empty sets are equal. Texts with fewer words than a shingle are
+one sequence. Ids must be unique and not null. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,26 +25,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, text_batches
+from tessella.llm.common import Scratch, freed_shuffles, text_batches
 from tessella.llm.components import components
-from tessella.llm.simhash import shingle_hashes
+from tessella.llm.repeats import Words
+from tessella.llm.simhash import Trees, fingerprint, near_links
 
 #: One of so many texts is read for common shingles (all of small tables); so many of them are put last.
 SAMPLE, COMMON = 16, 1 << 18
-#: Candidates of a set that are verified before all others.
-FIRST = 4
-#: Columns of a bitmap, 64 bins each.
-BINS = ["b0", "b1", "b2", "b3"]
+#: Bins of a bitmap at least and at most, powers of two.
+LEAST_BINS, MOST_BINS = 64, 1 << 14
 #: Rows of a bucket that are compared with it at once.
-BLOCK = 1024
+BLOCK = 512
+#: Rows of a key up to which keys are compared many at once.
+SMALL = 32
+
 
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending; the texts are hashed together."""
+    import xxhash
 
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    return np.unique(shingle_hashes((text or "").encode(), width))
+    unit = Words(2 * width, width)
+    viewed = [unit.view((t or "").lower().encode()) if (t or "").isascii() else unit.view((t or "").encode().lower()) for t in texts]
+    out: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)] * len(texts)
+    at = 0
+    while at < len(texts):  # as many texts as make a megabyte
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(viewed[upto][0]) <= 1 << 20):
+            size += len(viewed[upto][0])
+            upto += 1
+        views, offsets = viewed[at:upto], np.cumsum([0, *(len(v) for v, _ in viewed[at:upto])])
+        places = np.concatenate([p + o for (_, p), o in zip(views, offsets, strict=False)])
+        hashes = unit.grams(np.frombuffer(b"".join(v for v, _ in views), np.uint8), places)
+        first = 0
+        for k, (view, own) in enumerate(views, at):
+            words = len(own) - 1
+            if words >= width:
+                found = np.sort(hashes[first : first + words - width + 1])
+                out[k] = found[np.r_[True, found[1:] != found[:-1]]]
+            elif view.strip():
+                out[k] = np.array([xxhash.xxh64_intdigest(view)], dtype=np.uint64)
+            first += len(own)
+        at = upto
+    return out
+
+
+def bitmap(own: np.ndarray) -> bytes:
+    """For each bin the parity of how many shingles fall into it; two bins or more a shingle, up to MOST_BINS."""
+    size = min(MOST_BINS, max(LEAST_BINS, 1 << (2 * len(own)).bit_length()))
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def stacked(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of words of the least size; the parities of bins that fall together add up."""
+    least, out = min(map(len, maps)), np.empty((len(maps), min(map(len, maps)) // 8), dtype=np.uint64)
+    for k, one in enumerate(maps):
+        words = np.frombuffer(one, dtype="<u8")
+        out[k] = words if len(one) == least else np.bitwise_xor.reduce(words.reshape(-1, least // 8), axis=0)
+    return out
 
 
 def _set_id(own: np.ndarray) -> int:
@@ -53,76 +94,60 @@ def _set_id(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
 
 
-def _map_texts(make, names: list[str]):
-    """Arrow batches of the columns that ``make`` gives for the texts (last column) of a batch."""
+def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles of a set in the common order, of which similar sets share one."""
+    count = len(own) - -(-len(own) * num // den) + 1 if len(own) else 0
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        last = common[at] == own
+        own = np.concatenate([own[~last], own[last][np.argsort(rank[at[last]])]])
+    return own[:count]
+
+
+def _described(width: int, shared_order, num: int, den: int):
+    """(doc_id, node, n, p0, bits, prefix) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = shared_order.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(make(batch), names=names)
+            sets = shingle_sets(batch.column(1).to_pylist(), width)
+            columns = [
+                batch.column(0), pa.array([_set_id(own) for own in sets], pa.int64()), pa.array([len(own) for own in sets], pa.int32()),
+                pa.array(np.array([fingerprint(own)[0] for own in sets], dtype=np.uint64).view(np.int64)),
+                pa.array([bitmap(own) for own in sets], pa.binary()), pa.array([prefix(own, common, rank, num, den).tobytes() for own in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "p0", "bits", "prefix"])
 
     return run
 
 
-def bitmap(own: np.ndarray) -> np.ndarray:
-    """For each bin the parity of how many shingles fall into it."""
-    size = 64 * len(BINS)
-    odd = np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def _identities(width: int):
-    def make(batch):
-        sets = [shingle_set(x, width) for x in batch.column(1).to_pylist()]
-        bits = np.array([bitmap(own) for own in sets], dtype=np.int64).reshape(-1, len(BINS))
-        return [batch.column(0), pa.array([_set_id(own) for own in sets], pa.int64()), *(pa.array(bits[:, k].copy()) for k in range(len(BINS)))]
-
-    return _map_texts(make, ["doc_id", "node", *BINS])
-
-
 def _shingles(width: int):
-    def make(batch):
-        sets = [shingle_set(x, width) for x in batch.column(0).to_pylist()]
-        return [pa.array(np.concatenate([np.array([], np.uint64), *sets]).view(np.int64))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(0).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], np.uint64), *sets]).view(np.int64))], names=["key"])
 
-    return _map_texts(make, ["key"])
+    return run
 
 
 def _sets(width: int):
-    def make(batch):
-        return [batch.column(0), pa.array([shingle_set(x, width).tobytes() for x in batch.column(1).to_pylist()], pa.binary())]
-
-    return _map_texts(make, ["node", "shingles"])
-
-
-def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first shingles of a set in the common order, of which similar sets share one."""
-    count = len(own) - -(-len(own) * num // den) + 1 if len(own) else 0
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        last = common[at] == own
-        own = np.concatenate([own[~last], own[last][np.argsort(rank[at[last]])]])
-    return own[:count]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.tobytes() for own in sets], pa.binary())], names=["node", "shingles"])
 
+    return run
 
-def _prefixes(width: int, shared_order, num: int, den: int):
-    """(key, node, n, pos) of each shingle in the prefix of each text."""
 
-    def make(batch):
-        common, rank = shared_order.value
-        keys, nodes, sizes, places = [np.array([], np.uint64)], [], [], []
-        for text in batch.column(0).to_pylist():
-            own = shingle_set(text, width)
-            keys.append(prefix(own, common, rank, num, den))
-            nodes.append(_set_id(own))
-            sizes.append(len(own))
-        counts = [len(k) for k in keys[1:]]
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, comp, n, pos) of each shingle in the prefix of (node, comp, n, prefix)."""
+    for batch in batches:
+        node, comp, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        keys = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(3)]
+        counts = np.array([len(k) for k in keys], dtype=np.int64)
         places = np.concatenate([np.array([], np.int32), *(np.arange(c, dtype=np.int32) for c in counts)])
-        return [
-            pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts)),
-            pa.array(np.repeat(np.array(sizes, np.int32), counts)), pa.array(places),
-        ]
-
-    return _map_texts(make, ["key", "node", "n", "pos"])
+        columns = [np.concatenate([np.array([], np.int64), *keys]), np.repeat(node, counts), np.repeat(comp, counts), np.repeat(size, counts), places]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "comp", "n", "pos"])
 
 
 def may_match(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -136,16 +161,12 @@ def may_differ(bits: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarra
     return np.bitwise_count(bits ^ others).sum(axis=-1, dtype=np.int64) * (num + den) <= (den - num) * (n + m)
 
 
-def _bits(rows: dict[str, np.ndarray]) -> np.ndarray:
-    return np.stack([rows[c].astype(np.int64).view(np.uint64) for c in BINS], axis=1)
-
-
-def _buckets(make, names: list[str]):
+def _buckets(make, names: list[str], kinds: list):
     """Batches of what ``make`` yields for the rows of one or more whole keys (sorted by key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []  # of one key
-        give = lambda rows: (pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names) for out in make(rows) if len(out[0]))
+        give = lambda rows: (pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names) for out in make(rows) if len(out[0]))
         joined = lambda parts: {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         for batch in batches:
             if not batch.num_rows:
@@ -162,84 +183,80 @@ def _buckets(make, names: list[str]):
     return run
 
 
-def _groups(rows: dict[str, np.ndarray]) -> Iterator[slice]:
-    """Keys with more than one row."""
-    starts = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
-    ends = np.r_[starts[1:], len(rows["key"])]
-    for k in np.flatnonzero(ends - starts > 1):
-        yield slice(int(starts[k]), int(ends[k]))
+def _groups(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the keys with rows of different components."""
+    starts = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]]) if len(rows["key"]) else np.zeros(0, dtype=np.int64)
+    if not len(starts):
+        return starts, starts
+    apart = np.minimum.reduceat(rows["comp"], starts) != np.maximum.reduceat(rows["comp"], starts)
+    return starts[apart], np.r_[starts[1:], len(rows["key"])][apart]
 
 
-def _near(n: np.ndarray, pos: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def _near(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """Starts of two blocks of rows sorted by size, and which rows of the later block may match each of the first."""
     for i in range(0, len(n), BLOCK):
         to = int(np.searchsorted(n, n[min(i + BLOCK, len(n)) - 1] * den // num, side="right"))  # larger sets cannot match
         for j in range(i, to, BLOCK):
             a, b = slice(i, min(i + BLOCK, len(n))), slice(j, min(j + BLOCK, to))
-            near = may_match(n[a, None], pos[a, None], n[None, b], pos[None, b], num, den)
+            near = (comp[a, None] != comp[None, b]) & may_match(n[a, None], pos[a, None], n[None, b], pos[None, b], num, den)
             yield i, j, np.triu(near, 1) if i == j else near
 
 
 def _shared(num: int, den: int):
-    """Rows (once for each set) that may match another of their key."""
+    """Rows that may match a row of their key and of another component."""
 
     def make(rows):
-        fresh = np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1])]
-        rows = {k: v[fresh] for k, v in rows.items()}
         keep = np.zeros(len(rows["key"]), dtype=bool)
-        for own in _groups(rows):
-            n, pos = rows["n"][own].astype(np.int64), rows["pos"][own].astype(np.int64)
-            some = np.full(len(n), len(n) > BLOCK)
-            if len(n) <= BLOCK:
-                for i, j, near in _near(n, pos, num, den):
-                    some[i : i + near.shape[0]] |= near.any(axis=1)
-                    some[j : j + near.shape[1]] |= near.any(axis=0)
-            keep[own] = some
-        yield [rows[k][keep] for k in ("key", "node", "n", "pos")]
-
-    return _buckets(make, ["key", "node", "n", "pos"])
-
-
-def _neighbours(num: int, den: int):
-    """Each row with those just before it in its key."""
-
-    def make(rows):
-        n, pos, bits, us, vs = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), _bits(rows), [], []
-        for by in range(1, FIRST + 1):
-            near = (rows["key"][by:] == rows["key"][:-by]) & may_match(n[by:], pos[by:], n[:-by], pos[:-by], num, den)
-            near &= may_differ(bits[by:], bits[:-by], n[by:], n[:-by], num, den)
-            us.append(rows["node"][by:][near])
-            vs.append(rows["node"][:-by][near])
-        yield [np.concatenate(us), np.concatenate(vs)]
-
-    return _buckets(make, ["u", "v"])
-
-
-def _apart(num: int, den: int):
-    """All rows of a key that may match and lie in different components, block by block."""
+        starts, ends = _groups(rows)
+        sizes = ends - starts
+        small = np.zeros(len(keep) + 1, dtype=np.int64)
+        np.add.at(small, starts[sizes <= SMALL], 1)
+        np.add.at(small, ends[sizes <= SMALL], -1)
+        own = np.flatnonzero(np.cumsum(small[:-1]))
+        key, n, pos, comp = rows["key"][own], rows["n"][own].astype(np.int64), rows["pos"][own].astype(np.int64), rows["comp"][own]
+        for by in range(1, SMALL):
+            met = np.flatnonzero(key[by:] == key[:-by])
+            if not len(met):
+                break
+            far = met + by
+            near = (comp[met] != comp[far]) & may_match(n[met], pos[met], n[far], pos[far], num, den)
+            keep[own[met[near]]] = keep[own[far[near]]] = True
+        for a, b in zip(starts[sizes > SMALL], ends[sizes > SMALL], strict=True):
+            n, pos, comp = rows["n"][a:b].astype(np.int64), rows["pos"][a:b].astype(np.int64), rows["comp"][a:b]
+            for i, j, near in _near(n, pos, comp, num, den):
+                keep[a + i : a + i + near.shape[0]] |= near.any(axis=1)
+                keep[a + j : a + j + near.shape[1]] |= near.any(axis=0)
+        yield [rows[k][keep] for k in ("key", "node", "comp", "n", "pos")]
+
+    return _buckets(make, ["key", "node", "comp", "n", "pos"], [pa.int64()] * 3 + [pa.int32()] * 2)
+
+
+def _apart(num: int, den: int, forest: bool):
+    """Pairs of a key that may match and lie in different components; with ``forest`` those that join further components."""
 
     def make(rows):
-        us, vs, held = [], [], 0
-        for own in _groups(rows):
-            n, pos, node, comp = (rows[k][own].astype(np.int64) for k in ("n", "pos", "node", "comp"))
-            if (comp == comp[0]).all():
-                continue
-            bits = _bits({c: rows[c][own] for c in BINS})
-            for i, j, near in _near(n, pos, num, den):
-                x, y = np.nonzero(near & (comp[i : i + near.shape[0], None] != comp[None, j : j + near.shape[1]]))
-                x, y = x + i, y + j
-                some = may_differ(bits[x], bits[y], n[x], n[y], num, den)
-                u, v = node[x[some]], node[y[some]]
-                us.append(np.minimum(u, v))
-                vs.append(np.maximum(u, v))
-                held += len(u)
-                if held > 1 << 16:
+        us, vs = [], []
+        for a, b in zip(*_groups(rows), strict=True):
+            n, pos, node, comp = (rows[k][a:b].astype(np.int64) for k in ("n", "pos", "node", "comp"))
+            bits, trees = stacked(list(rows["bits"][a:b])), Trees()
+            for i, j, near in _near(n, pos, comp, num, den):
+                x, y = np.nonzero(near)
+                some = np.concatenate([np.zeros(0, dtype=bool), *(
+                    may_differ(bits[x[s : s + 4096] + i], bits[y[s : s + 4096] + j], n[x[s : s + 4096] + i], n[y[s : s + 4096] + j], num, den) for s in range(0, len(x), 4096)
+                )])
+                x, y = x[some] + i, y[some] + j
+                if forest:
+                    joins = [k for k, (p, q) in enumerate(zip(comp[x].tolist(), comp[y].tolist(), strict=True)) if trees.join(p, q)]
+                    x, y = x[joins], y[joins]
+                us.append(np.minimum(node[x], node[y]))
+                vs.append(np.maximum(node[x], node[y]))
+                if sum(map(len, us)) > 1 << 16:
                     yield [np.concatenate(us), np.concatenate(vs)]
-                    us, vs, held = [], [], 0
-        if held:
+                    us, vs = [], []
+        if us:
             yield [np.concatenate(us), np.concatenate(vs)]
 
-    return _buckets(make, ["u", "v"])
+    return _buckets(make, ["u", "v"], [pa.int64()] * 2)
 
 
 def _verified(num: int, den: int):
@@ -267,39 +284,61 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rank[order]
 
 
-def similar_texts(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def similar_texts(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 4, den: int = 5, distance: int = 3) -> DataFrame:
     """(doc_id, node, component_id) of every document: its set and the least set it is linked to, over any chain."""
+    with freed_shuffles(docs.sparkSession):
+        return _similar(docs, scratch, width, num, den, distance)
+
+
+def _similar(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int, distance: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     with text_batches(spark, 256):
-        ids = scratch.save(docs.mapInArrow(_identities(width), ", ".join(["doc_id long, node long", *(f"{c} long" for c in BINS)])), "sets-of-texts")
         order = spark.sparkContext.broadcast(_common(docs, width))
-        rows = docs.select("text").mapInArrow(_prefixes(width, order, num, den), "key long, node long, n int, pos int")
-        rows = rows.repartition("key").sortWithinPartitions("key", "n", "node")
-        shared = scratch.save(rows.mapInArrow(_shared(num, den), "key long, node long, n int, pos int"), "shared")
-        # whole sets only of texts that may match another, one text each
-        wanted = shared.select("node").distinct().join(ids, "node").groupBy("node").agg(F.min("doc_id").alias("id"))
-        texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("node", "text")
-        sets = scratch.save(texts.mapInArrow(_sets(width), "node long, shingles binary"), "sets")
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-        right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        with text_batches(spark):
-            whole = pairs.distinct().join(left, "u").join(right, "v").select("u", "v", "a", "b")
-            return scratch.save(whole.mapInArrow(_verified(num, den), "u long, v long"), name)
-
-    bitmaps = ids.groupBy(F.col("node").alias("id")).agg(*[F.first(c).alias(c) for c in BINS])
-    rows = scratch.save(shared.join(bitmaps, F.col("node") == F.col("id")).drop("id"), "rows")
-    dealt = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("node", "key"))
-    met = dealt.select("key", "node", "n", "pos", *BINS).mapInArrow(_neighbours(num, den), "u long, v long").distinct()
-    turn = F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "v"), "v"))
-    first = verify(met.withColumn("turn", turn).filter(F.col("turn") <= FIRST).select("u", "v"), "first-links")
-    found = scratch.save(components(first, scratch), "first-components")
-    placed = rows.join(found, F.col("node") == F.col("id"), "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp"), *BINS)
-    placed = placed.repartition("key").sortWithinPartitions("key", "n", "node")
-    rest = verify(placed.mapInArrow(_apart(num, den), "u long, v long"), "other-links")
-    again = Scratch(spark, "near-components")
-    last = components(first.union(rest), again)
-    out = ids.join(last, F.col("node") == F.col("id"), "left")
-    return out.select("doc_id", "node", F.coalesce("component", "node").alias("component_id"))
+        fields = "doc_id long, node long, n int, p0 long, bits binary, prefix binary"
+        told = scratch.save(docs.mapInArrow(_described(width, order, num, den), fields), "described")
+    sets = told.groupBy("node").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "p0", "bits", "prefix")])
+    sets = scratch.save(sets, "distinct-sets")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (u, v) that are similar enough, by whole sets; only texts of pairs are read as sets."""
+        pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
+        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(sets.select("node", "id"), "node")
+        with text_batches(spark, 256):
+            texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("node", "text")
+            whole = scratch.save(texts.mapInArrow(_sets(width), "node long, shingles binary"), f"{name}-sets")
+            left = whole.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+            right = whole.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+            met = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+            links = scratch.save(met.mapInArrow(_verified(num, den), "u long, v long"), name)
+        scratch.drop(f"{name}-pairs", f"{name}-sets")
+        return links
+
+    def placed(rows: DataFrame, links: DataFrame, *columns: str) -> DataFrame:
+        """The rows with the components of their sets."""
+        found = components(links, Scratch(spark, "near-components"))
+        return rows.join(found, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("comp"), *columns)
+
+    # 1. fingerprints
+    reps = scratch.save(sets.groupBy("p0").agg(F.min("node").alias("node")), "fingerprints")
+    with text_batches(spark, 10000):
+        near = near_links(reps, scratch, distance)
+    same = sets.join(reps.select(F.col("p0").alias("q"), F.col("node").alias("u")), F.col("p0") == F.col("q")).filter("node != u").select("u", F.col("node").alias("v"))
+    first = verified(near.union(same), "fingerprint-links")
+
+    # 2. prefixes
+    fields = "key long, node long, comp long, n int, pos int"
+    rows = placed(sets.drop("id"), first, "n", "prefix").select("node", "comp", "n", "prefix")
+    with text_batches(spark, 256):
+        rows = rows.mapInArrow(_dealt, fields).repartition("key").sortWithinPartitions("key", "n", "node")
+        shared = scratch.save(rows.mapInArrow(_shared(num, den), fields), "shared")
+
+    # 3. forests of candidates, then all that are still apart
+    shared = scratch.save(shared.drop("comp").join(sets.select(F.col("node").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of"), "rows")
+    links = first
+    for forest in (True, False):
+        rows = placed(shared, links, "key", "n", "pos", "bits")
+        rows = rows.select("key", "node", "comp", "n", "pos", "bits").repartition("key").sortWithinPartitions("key", "n", "node")
+        with text_batches(spark, 1000):
+            links = links.union(verified(rows.mapInArrow(_apart(num, den, forest), "u long, v long"), f"prefix-links-{forest}"))
+    return placed(told.select("doc_id", "node"), links, "doc_id").select("doc_id", "node", F.col("comp").alias("component_id"))

@@ -75,22 +75,22 @@ def line_is_bad(line: Column, rules: QualityRules) -> Column:
 
 
 def _measured(docs: DataFrame, rules: QualityRules, text_col: str) -> DataFrame:
-    """_row (all columns of ``docs`` as a struct), _text, the measures and the verdicts."""
+    """_row (all columns of ``docs`` as a struct), the measures, the text without bad lines and the verdicts."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("_text"))
     split = rows.withColumns({
         "words": words_of(F.col("_text")),
-        "lines": F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(WORD)),
-    })
+        "all_lines": F.split(F.col("_text"), "\n"),
+    }).withColumn("lines", F.filter("all_lines", lambda x: x.rlike(WORD)))
     hashed = split.select(
-        "_row", "_text", "lines",
+        "_row", "_text", "lines", "all_lines",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.when(
             F.size("words") >= 3,
             F.expr("transform(sequence(0, greatest(size(words) - 3, 0)), i -> xxhash64(words[i], words[i + 1], words[i + 2]))"),
         ).otherwise(F.array().cast("array<bigint>")).alias("hashes"),
-        F.transform("lines", lambda x: line_is_bad(x, rules)).alias("bad"),
+        F.transform("all_lines", lambda x: F.when(x.rlike(WORD), line_is_bad(x, rules)).otherwise(False)).alias("bad"),
     )
     sorted_windows = hashed.withColumn(
         "windows",
@@ -103,7 +103,8 @@ def _measured(docs: DataFrame, rules: QualityRules, text_col: str) -> DataFrame:
         "filter(transform(windows, (w, k) -> if(w.h = get(windows, k - 1).h or w.h = get(windows, k + 1).h, w.p, -1)), p -> p >= 0)"
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda p: F.array(p, p + 1, p + 2)))))
-    bad_lines = F.filter("lines", lambda x, i: F.element_at("bad", i + 1))
+    bad_lines = F.filter("all_lines", lambda x, i: F.element_at("bad", i + 1))
+    good_lines = F.filter("all_lines", lambda x, i: ~F.element_at("bad", i + 1))
     symbols = "[#*$%&|<>]"
     figures = sorted_windows.select(
         "_row", "_text", "n_words", "word_chars",
@@ -113,6 +114,7 @@ def _measured(docs: DataFrame, rules: QualityRules, text_col: str) -> DataFrame:
         F.when(F.col("windows").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"),
         F.when(F.array_contains("bad", True), F.size(words_of(F.array_join(bad_lines, " ")))).otherwise(0).cast("long").alias("lost_words"),
         F.size(F.filter("bad", lambda b: b)).cast("long").alias("n_bad_lines"),
+        F.when(F.array_contains("bad", True), F.array_join(good_lines, "\n")).otherwise(F.col("_text")).alias("clean_text"),
     )
     judged = figures.withColumn(
         "base_failed",
@@ -136,12 +138,9 @@ def quality_report(docs: DataFrame, rules: QualityRules = QualityRules(), text_c
     Repeated 3-word windows are found by XXH64 of their words: where all hashes of a text differ, none
     repeats; else hashes are sorted with their positions and neighbours compared, n log n a text.
     """
-    clean = F.array_join(
-        F.filter(F.split(F.col("_text"), "\n"), lambda x: ~(x.rlike(WORD) & line_is_bad(x, rules))), "\n"
-    )
     return _measured(docs, rules, text_col).select(
         *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns],
-        F.struct(*MEASURES, F.when(F.col("n_bad_lines") > 0, clean).otherwise(F.col("_text")).alias("clean_text")).alias("_q"),
+        F.struct(*MEASURES, "clean_text").alias("_q"),
     )
 
 

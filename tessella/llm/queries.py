@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from tessella.llm import oracles
+from tessella.llm import oracles, pipeline
 from tessella.llm.common import Scratch, table
 from tessella.llm.decontaminate import contaminated_pairs
 from tessella.llm.language import identify
@@ -76,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity_ftrl": op8_toxicity_ftrl,
         "op9_token_counts": op9_token_counts,
         "op10_simhash_components": op10_simhash_components,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
