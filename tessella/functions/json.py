@@ -7,6 +7,7 @@ Arrow-batched pandas functions over JSON text.
 from __future__ import annotations
 
 import json as _json
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -119,11 +120,45 @@ def untyped(e: Column) -> Column:
     return F.to_json(e, {"ignoreNullFields": "false"})
 
 
+class _Exact(float):
+    """A number with a point: compares as its exact decimal, prints as it was written."""
+
+    def __new__(cls, text: str):
+        out = super().__new__(cls, text)
+        out.text, out.decimal = text, Decimal(text)
+        return out
+
+    def __repr__(self) -> str:
+        return self.text
+
+    def __eq__(self, other) -> bool:
+        return self.decimal == (other.decimal if isinstance(other, _Exact) else other)
+
+    __hash__ = float.__hash__
+
+
+def _dumped(v, depth: int | None = None, ascii_only: bool = True) -> str:
+    """JSON text, numbers as they were written; ``depth`` is the level of an indented text."""
+    if isinstance(v, _Exact):
+        return v.text
+    if not isinstance(v, (dict, list)) or not v:
+        return _json.dumps(v, ensure_ascii=ascii_only)
+    inner = None if depth is None else depth + 1
+    items = [_dumped(x, inner, ascii_only) for x in (v.values() if isinstance(v, dict) else v)]
+    if isinstance(v, dict):
+        items = [f"{_json.dumps(k, ensure_ascii=ascii_only)}: {x}" for k, x in zip(v, items, strict=True)]
+    opened, closed = "{}" if isinstance(v, dict) else "[]"
+    if depth is None:
+        return opened + ", ".join(items) + closed
+    pad = "\n" + " " * 4 * inner
+    return opened + pad + f",{pad}".join(items) + "\n" + " " * 4 * depth + closed
+
+
 def _apply(fn, *args: Column, kind: T.DataType = T.StringType()) -> Column:
     """A function of parsed JSON values over JSON text, batch by batch; NULL arguments give NULL."""
 
     def one(*texts):
-        return None if any(t is None for t in texts) else fn(*[_json.loads(t) for t in texts])
+        return None if any(t is None for t in texts) else fn(*[_json.loads(t, parse_float=_Exact) for t in texts])
 
     @F.pandas_udf(kind)
     def run(*columns: pd.Series) -> pd.Series:
@@ -133,7 +168,7 @@ def _apply(fn, *args: Column, kind: T.DataType = T.StringType()) -> Column:
 
 
 def _edit(fn, *args: Column) -> Column:
-    return F.parse_json(_apply(lambda *v: _json.dumps(fn(*v)), *[F.to_json(a) for a in args]))
+    return F.parse_json(_apply(lambda *v: _dumped(fn(*v)), *[F.to_json(a) for a in args]))
 
 
 def _within(a, b) -> bool:
@@ -179,7 +214,7 @@ def _ordered(v):
 
 def pretty(v: Column) -> Column:
     """Indented text, keys by length and then bytes."""
-    return _apply(lambda x: _json.dumps(_ordered(x), indent=4, ensure_ascii=False), F.to_json(v))
+    return _apply(lambda x: _dumped(_ordered(x), 0, False), F.to_json(v))
 
 
 def _place(items: list, step) -> int:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -206,18 +208,28 @@ class _Staged:
         return replace(self, conditions=(*self.conditions, condition))
 
     def _condition(self) -> Column:
+        """What WHERE says. Joins and filters drop NULL by themselves; wrapped in a function its equalities would be no join keys."""
         if not self.conditions and not self.everything:
             raise ValueError("say where, or that all rows are meant")
-        out = F.lit(True)
-        for c in self.conditions:
-            out = out & c(self._namespace())
-        return F.coalesce(out, F.lit(False))
+        return reduce(and_, [c(self._namespace()) for c in self.conditions], F.lit(True))
 
-    def _sources_joined(self) -> DataFrame:
-        out = self.sources[0][1].alias(self.sources[0][0])
-        for alias, df in self.sources[1:]:
-            out = out.crossJoin(df.alias(alias))
-        return out
+    def _holds(self) -> Column:
+        return F.coalesce(self._condition(), F.lit(False))
+
+    def _key(self) -> list[str]:
+        """Columns that tell the rows apart as far as it matters: the primary key, else all (equal rows fare alike)."""
+        names = list(self.table.primary)
+        return names if names and set(names) <= set(self.current.columns) else list(self.current.columns)
+
+    def _met(self) -> DataFrame:
+        """Target rows next to each combination of source rows that meets the condition.
+
+        Inner joins with one filter above: the optimizer moves each conjunct to the join it belongs to and orders the joins by them.
+        """
+        out = self.current.alias(self.alias)
+        for alias, df in self.sources:
+            out = out.join(df.alias(alias))
+        return out.filter(self._condition())
 
 
 @dataclass(frozen=True)
@@ -246,22 +258,23 @@ class Update(_Staged):
     def run(self) -> Result:
         if self.assign is None:
             raise ValueError("UPDATE needs SET")
-        condition, names = self._condition(), self.current.columns
+        names = self.current.columns
         assigned = {k: v if isinstance(v, Column) else F.lit(v) for k, v in self.assign(self._namespace()).items()}
         for n in assigned:
             self.table.column(n)
         kinds = dict(zip(names, (f.dataType for f in self.current.schema.fields), strict=True))
         old = self.current.alias(self.alias)
         if not self.sources:
+            condition = self._holds()
             new = [F.when(condition, assigned[n]).otherwise(F.col(f"{self.alias}.`{n}`")).cast(kinds[n]).alias(n) if n in assigned else F.col(f"{self.alias}.`{n}`") for n in names]
             out = old.select(*new, condition.alias("_hit"))
             return Result(out.drop("_hit"), out.filter("_hit").drop("_hit"))
         # several matches: one of them counts, here the first by the values it assigns
-        row = self.current.withColumn("_row", F.monotonically_increasing_id())
-        found = row.alias(self.alias).join(self._sources_joined(), condition)
+        key = self._key()
         values = [v.cast(kinds[n]).alias(f"_v_{n}") for n, v in assigned.items()]
-        found = found.select(F.col(f"{self.alias}._row").alias("_at"), F.struct(*values).alias("_v")).groupBy("_at").agg(F.min("_v").alias("_v"))
-        out = row.join(found, F.col("_row") == F.col("_at"), "left")
+        found = self._met().select(*[F.col(f"{self.alias}.`{k}`").alias(f"_k_{k}") for k in key], F.struct(*values).alias("_v"))
+        found = found.groupBy(*[f"_k_{k}" for k in key]).agg(F.min("_v").alias("_v"), F.lit(True).alias("_at"))
+        out = self.current.join(found, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_k_{k}`")) for k in key], "left")
         hit = F.col("_at").isNotNull()
         new = [F.when(hit, F.col(f"_v._v_{n}")).otherwise(F.col(f"`{n}`")).alias(n) if n in assigned else F.col(f"`{n}`") for n in names]
         out = out.select(*new, hit.alias("_hit"))
@@ -279,11 +292,16 @@ class Delete(_Staged):
         return replace(self, everything=True)
 
     def run(self) -> Result:
-        condition, old = self._condition(), self.current.alias(self.alias)
+        old = self.current.alias(self.alias)
         if not self.sources:
-            return Result(old.filter(~condition), old.filter(condition))
-        joined = self._sources_joined()
-        return Result(old.join(joined, condition, "left_anti"), old.join(joined, condition, "left_semi"))
+            return Result(old.filter(~self._holds()), old.filter(self._holds()))
+        if len(self.sources) == 1:
+            alias, df = self.sources[0]
+            return Result(*[old.join(df.alias(alias), self._condition(), how) for how in ("left_anti", "left_semi")])
+        key = self._key()
+        found = self._met().select(*[F.col(f"{self.alias}.`{k}`").alias(f"_k_{k}") for k in key]).distinct()
+        on = [F.col(f"{self.alias}.`{k}`").eqNullSafe(F.col(f"`_k_{k}`")) for k in key]
+        return Result(old.join(found, on, "left_anti"), old.join(found, on, "left_semi"))
 
 
 def update(table: TableDef, current: DataFrame, alias: str = "t") -> Update:

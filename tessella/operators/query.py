@@ -140,6 +140,8 @@ class Query:
             raise ValueError(f"no such lock: {strength} {wait or ''}")
         if self.joins or not self.writable:
             raise ValueError("only a single table's rows can be locked")
+        if self.groups or self.distinct or self.distinct_keys is not None:
+            raise ValueError("groups and distinct rows are no table rows to lock")
         return replace(self, lock=(strength, wait))
 
     # joins
@@ -236,8 +238,6 @@ class Query:
     def _grouped(self, current: DataFrame, names, columns: list[Column], orders: list[Column], keys: list):
         """Aggregate into hidden columns, filter by HAVING, and give back (df, columns, names, orders)."""
         havings = [make(names) for make in self.havings]
-        if havings and any("over(" in str(c).lower().replace(" ", "") or "windowspec" in str(c).lower() for c in columns):
-            raise ValueError("put the aggregation with HAVING into a derived relation and the window functions above it")
         listed = [c.alias(f"_c{k}") for k, c in enumerate(columns)] + [h.alias(f"_g{k}") for k, h in enumerate(havings)]
         sort_of, plain = [], []
         for k, o in enumerate(orders):
@@ -257,6 +257,8 @@ class Query:
             grouped = current.groupingSets(sets, *every).agg(*listed)
         else:
             grouped = current.groupBy(*keys).agg(*listed)
+        if havings and _windowed(grouped):
+            raise ValueError("put the aggregation with HAVING into a derived relation and the window functions above it")
         for k in range(len(havings)):
             grouped = grouped.filter(F.col(f"_g{k}"))
         out_names = [_name(c) for c in columns]
@@ -344,6 +346,14 @@ def _split_order(o):
     return o, _DIRECTIONS["ASC NULLS LAST"]
 
 
+def _windowed(grouped: DataFrame) -> bool:
+    """Whether the analyzed plan evaluates window functions above its topmost aggregation."""
+    node = grouped._jdf.queryExecution().analyzed()
+    while node.nodeName() not in ("Aggregate", "Window") and node.children().size():
+        node = node.children().head()
+    return node.nodeName() == "Window"
+
+
 def _sorted(o) -> Column:
     column, direction = _split_order(o)
     return direction(column)

@@ -6,8 +6,9 @@ have no zone; doubles are rounded on both sides where engines sum in different o
 
 from __future__ import annotations
 
+import getpass
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ from tessella.operators.query import EMPTY_GROUP, From, asc, cube, desc, groupin
 from tessella.operators.range_join import overlap_join
 from tessella.operators.setops import set_op
 from tessella.sources import rows as SRC
-from tessella.sources.schema import Builder, TableDef, ViewDef, table_of, view_of
+from tessella.sources.schema import Builder, ColumnDef, TableDef, ViewDef, register_type, table_of, view_of
+from tessella.streaming import fetch as FETCH
 
 Tables = Callable[[str], DataFrame]
 _QUERIES: dict[str, Callable[[SparkSession, Tables], DataFrame]] = {}
@@ -434,9 +436,34 @@ def order_by_aggregate(spark, t):
     return From(t("orders"), "o").select(lambda o: (o.o_custkey, A.count_all().alias("n"))).group_by(lambda o: o.o_custkey).order_by(lambda o: (desc(A.count_all()), asc(o.o_custkey))).limit(10).df()
 
 
-@query("select o_orderkey, o_orderstatus from orders where o_orderstatus = 'P'")
+@query("select o_orderkey, o_orderstatus, 'update skip locked' as mode from orders where o_orderstatus = 'P'")
 def lock_noted(spark, t):
-    return From(t("orders"), "o").where(lambda o: o.o_orderstatus == "P").for_("update", "skip locked").select(lambda o: (o.o_orderkey, o.o_orderstatus)).df()
+    q = From(t("orders"), "o").where(lambda o: o.o_orderstatus == "P").for_("update", "skip locked")
+    return q.select(lambda o: (o.o_orderkey, o.o_orderstatus, F.lit(" ".join(q.lock)).alias("mode"))).df()
+
+
+def _refusals(spark, **tries) -> DataFrame:
+    """What each call raises, or that it passes."""
+
+    def outcome(call) -> str:
+        try:
+            call()
+        except Exception as e:  # noqa: BLE001  the kind is the result
+            return type(e).__name__
+        return "passes"
+
+    return spark.createDataFrame([(name, outcome(call)) for name, call in tries.items()], "attempt string, outcome string")
+
+
+@query("select * from (values ('uncovered', 'AnalysisException'), ('covered', 'passes'), ('lock_on_groups', 'ValueError'), ('lock_on_view', 'ValueError')) v(attempt, outcome)")
+def group_coverage(spark, t):
+    o = lambda: From(t("orders"), "o")
+    return _refusals(
+        spark, uncovered=lambda: o().select(lambda o: (o.o_custkey, A.count_all().alias("n"))).group_by(lambda o: o.o_orderstatus).df(),
+        covered=lambda: o().select(lambda o: (o.o_custkey, A.count_all().alias("n"))).group_by(lambda o: o.o_custkey).df(),
+        lock_on_groups=lambda: o().select(lambda o: A.count_all().alias("n")).group_by(lambda o: o.o_custkey).for_("update").df(),
+        lock_on_view=lambda: From(t("orders"), "v", writable=False).for_("share").df(),
+    )
 
 
 # set operations
@@ -632,9 +659,11 @@ def num_trigonometry(spark, t):
     return t("nation").select("n_nationkey", *[r(e, 6).alias(k) for k, e in fs.items()])
 
 
-@query("select n_nationkey, true as fits from nation")
+@query("select 10 * count(*) as drawn, cast(0 as bigint) as outside, cast(10 as bigint) as tenths from nation")
 def num_random(spark, t):
-    return t("nation").withColumn("x", N.random()).select("n_nationkey", ((F.col("x") >= 0) & (F.col("x") < 1)).alias("fits"))
+    many = t("nation").crossJoin(spark.range(10)).withColumn("x", N.random())
+    tenths = spark.range(20000).select(F.floor(N.random() * 10).alias("d")).agg(F.count_distinct("d").alias("tenths"))
+    return many.agg(F.count("x").alias("drawn"), F.count(F.when((F.col("x") < 0) | (F.col("x") >= 1), 1)).alias("outside")).crossJoin(tenths)
 
 
 # dates and times
@@ -677,14 +706,38 @@ def time_make(spark, t):
     )
 
 
-@query("select true as ordered, true as today, true as local, true as clock, true as made, true as aged")
+_TODAY = "cast(now() at time zone 'UTC' as date)"
+_BORN = "timestamp '2001-03-05'"
+
+
+@query(f"select {_TODAY} as today, {_TODAY} as now_day, {_TODAY} as current_day, {_TODAY} as local_day, cast(0 as bigint) as minutes_apart, cast(12 * date_part('year', age(cast({_TODAY} as timestamp), {_BORN})) + date_part('month', age(cast({_TODAY} as timestamp), {_BORN})) as integer) as months, cast(date_part('day', age(cast({_TODAY} as timestamp), {_BORN})) as integer) as days")
 def time_now(spark, t):
+    day = lambda e: e.cast("date")
+    aged = D.age_today(F.lit("2001-03-05").cast("date"))
+    apart = F.unix_micros(D.now()) - F.unix_micros(D.local_timestamp().cast("timestamp"))
+    return From(SRC.empty(spark), "e").select(lambda _: (
+        D.current_date().alias("today"), day(D.now()).alias("now_day"), day(D.current_timestamp()).alias("current_day"), day(D.local_timestamp()).alias("local_day"),
+        F.floor(F.abs(apart) / 60_000_000).alias("minutes_apart"), aged["months"].alias("months"), aged["days"].alias("days"),
+    )).df()
+
+
+@query("select n_nationkey, lpad(cast(n_nationkey % 24 as varchar), 2, '0') || ':30:01.5' as made, cast(0 as bigint) as apart, cast(now() at time zone 'UTC' as date) as today from nation")
+def time_of_day(spark, t):
+    """Times of day; the session's setting for their type is on while the plan is made and restored then."""
+    before = spark.conf.get("spark.sql.timeType.enabled", None)
     spark.conf.set("spark.sql.timeType.enabled", "true")
-    clock = D.current_time()
-    return spark.range(1).select(
-        (D.now() <= D.current_timestamp()).alias("ordered"), (D.current_date() == D.now().cast("date")).alias("today"), D.local_timestamp().isNotNull().alias("local"),
-        (clock <= D.local_time()).alias("clock"), (D.make_time(F.lit(12), F.lit(30), F.lit(1.5).cast("decimal(16,6)")) == F.expr("time'12:30:01.5'")).alias("made"), (D.age_today(D.current_date())["days"] == 0).alias("aged"),
-    )
+    try:
+        made = D.make_time((F.col("n_nationkey") % 24).cast("int"), F.lit(30), F.lit(1.5).cast("decimal(16,6)"))
+        text = lambda e: e.cast("string")
+        day = F.current_date()
+        df = t("nation").select("n_nationkey", text(made).alias("made"), F.datediff(day, D.now().cast("date")).cast("long").alias("apart"), day.alias("today"),
+                                (text(D.current_time()) == text(D.local_time())).alias("_same"))
+        return df.filter("_same").drop("_same")
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.timeType.enabled")
+        else:
+            spark.conf.set("spark.sql.timeType.enabled", before)
 
 
 # NULL helpers, session functions, extensions
@@ -695,9 +748,11 @@ def null_helpers(spark, t):
     return From(t("orders"), "o").select(lambda o: (o.o_orderkey, M.nullif(o.o_orderstatus, "F").alias("n"), M.coalesce(M.nullif(o.o_orderstatus, "F"), F.lit("none")).alias("c"), M.null_of("int").alias("z"))).df()
 
 
-@query("select true as same, true as schema, true as catalog, true as database")
+@query(f"select '{getpass.getuser()}' as current, '{getpass.getuser()}' as session, '{getpass.getuser()}' as own, 'default' as schema, 'spark_catalog' as catalog, 'spark_catalog' as database")
 def session_functions(spark, t):
-    return spark.range(1).select(((M.current_user() == M.session_user()) & (M.user() == M.current_user())).alias("same"), M.current_schema().isNotNull().alias("schema"), M.current_catalog().isNotNull().alias("catalog"), M.current_database().isNotNull().alias("database"))
+    return From(SRC.empty(spark), "e").select(lambda _: (
+        M.current_user().alias("current"), M.session_user().alias("session"), M.user().alias("own"), M.current_schema().alias("schema"), M.current_catalog().alias("catalog"), M.current_database().alias("database"),
+    )).df()
 
 
 @query("select p_partkey, levenshtein(p_brand, p_type) as l, soundex_free as s, p_size * p_size as sq, -p_size as ng, p_brand || p_type as cat from (select *, reverse(p_brand) as soundex_free from part)")
@@ -791,6 +846,16 @@ def range_constructors(spark, t):
 # JSON
 
 
+@query("""select event_id, props->>'k' as p, cast(json_extract(props, '$.k') as varchar) as q, (props->>'k') = '69' as cb, true as self, '{"a":{"b":[1,{"c":"' || event_type || '"}]}}' as whole, event_type as deep, cast(null as varchar) as missing from events""")
+def json_paths(spark, t):
+    v = J.parse(F.col("props"))
+    nested = J.parse(F.concat(F.lit('{"a": {"b": [1, {"c": "'), F.col("event_type"), F.lit('"}]}}')))
+    return t("events").select(
+        "event_id", J.path_text(v, "k").alias("p"), J.text(J.path(v, "k")).alias("q"), J.contained_by(v, J.parse(F.lit('{"k": 69, "z": [1, 2]}'))).alias("cb"), J.contained_by(nested, nested).alias("self"),
+        J.text(nested).alias("whole"), J.path_text(nested, "a", "b", 1, "c").alias("deep"), J.text(J.path(nested, "a", "x")).alias("missing"),
+    )
+
+
 @query("select event_id, props->>'k' as k, json_extract_string(props, '$.k') as p, cast(json_extract(props, '$.missing') as varchar) as m, json_type(props) = 'OBJECT' as o from events")
 def json_get(spark, t):
     v = J.parse(F.col("props"))
@@ -897,6 +962,80 @@ def dml_delete_using_returning(spark, t):
     return done.returning(lambda o: (o.o_orderkey, o.o_custkey))
 
 
+@query("select n_nationkey, n_name, n_regionkey, '*' || n_name as renamed from nation where n_regionkey = 2")
+def dml_returning_all(spark, t):
+    """RETURNING every column, then the rows as values of a class and back."""
+    table = Builder("nation").column("n_nationkey", "int4").column("n_name", "text").column("n_regionkey", "int4").build().with_primary("n_nationkey")
+    done = DML.delete(table, t("nation").select("n_nationkey", "n_name", "n_regionkey")).where(lambda n: n.n_regionkey == 2).run()
+    found = FETCH.to(Nation, FETCH.run(done.returning()))
+    rows = [{**asdict(x), "renamed": "*" + x.n_name} for x in found]
+    return SRC.values(spark, rows, "n_nationkey int, n_name string, n_regionkey int, renamed string")
+
+
+@query("select n_nationkey as r_regionkey, case when n_regionkey = 1 then 'moved' else n_name end as r_name from nation where n_regionkey <> 0")
+def dml_several_sources(spark, t):
+    """UPDATE ... FROM and DELETE ... USING two relations each, on a table without a key."""
+    table = Builder("nation").column("n_nationkey", "int4").column("n_name", "text").column("n_regionkey", "int4").build()
+    linked = lambda s: (s.n.n_regionkey == s.r.r_regionkey) & (s.r.r_name == s.o.name)
+    names = lambda key: t("region").filter(F.col("r_regionkey") == key).select(F.col("r_name").alias("name"))
+    moved = DML.update(table, t("nation").select("n_nationkey", "n_name", "n_regionkey"), "n").from_(t("region"), "r").from_(names(1), "o").set(lambda s: {"n_name": "moved"}).where(linked).run()
+    left = DML.delete(table, moved.table, "n").using(t("region"), "r").using(names(0), "o").where(linked).run()
+    return left.table.select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name"))
+
+
+@query("""select * from (values ('unknown_column', 'ValueError'), ('missing_required', 'ValueError'), ('null_in_required', 'ValueError'), ('broken_constraint', 'ValueError'), ('no_rows', 'ValueError'), ('different_columns', 'ValueError'),
+('unknown_key', 'ValueError'), ('view', 'TypeError'), ('update_without_where', 'ValueError'), ('default_fills', 'passes'), ('own_type', 'passes'), ('twice_in_one_upsert', 'SparkRuntimeException')) v(attempt, outcome)""")
+def dml_checks(spark, t):
+    register_type("even", T.IntegerType())
+    table = Builder("region").column("r_regionkey", "int4").column_defaulted("r_name", "text", "NEW").build().with_primary("r_regionkey")
+    pair = TableDef("pair", (ColumnDef("k", "int4"), ColumnDef("even", "even", check=lambda x: x % 2 == 0)))
+    region, none = t("region").select("r_regionkey", "r_name"), spark.createDataFrame([], "k int, even int")
+    put = lambda *rows: DML.insert(spark, table, region, *rows)
+    return _refusals(
+        spark, unknown_column=lambda: put({"r_regionkey": 1, "nope": 2}), missing_required=lambda: put({"r_name": "x"}), null_in_required=lambda: put({"r_regionkey": None}),
+        broken_constraint=lambda: DML.insert(spark, pair, none, {"k": 1, "even": 3}), no_rows=lambda: put(), different_columns=lambda: put({"r_regionkey": 1}, {"r_regionkey": 2, "r_name": "x"}),
+        unknown_key=lambda: put({"r_regionkey": 1}).on_conflict("r_name"), view=lambda: DML.insert(spark, CUSTOMER_VIEW, t("customer"), {"c_custkey": 1}), update_without_where=lambda: DML.update(table, region).set(lambda _: {"r_name": "x"}).run(),
+        default_fills=lambda: put({"r_regionkey": 9}).run().count(), own_type=lambda: DML.insert(spark, pair, none, {"k": 1, "even": 4}).run().count(),
+        twice_in_one_upsert=lambda: put({"r_regionkey": 1}, {"r_regionkey": 1}).on_conflict("r_regionkey").do_update(lambda old, ex: {"r_name": ex.r_name}).run().count(),
+    )
+
+
+# fetching
+
+
+@dataclass
+class Nation:
+    n_nationkey: int
+    n_name: str
+    n_regionkey: int
+
+
+@query("""select 'run' as form, count(*) as n, sum(n_nationkey) as total from nation union all select 'unique', 1, 7 union all select 'option', 1, 8 union all select 'option of none', 0, null
+union all select 'chunks of 10', 3, sum(n_nationkey) from nation union all select 'cursor', count(*), sum(n_nationkey) from nation union all select 'later', count(*), sum(n_nationkey) from nation union all select 'affected', count(*), null from nation where n_regionkey = 3""")
+def fetch_forms(spark, t):
+    """Every way to run a query or a command, as rows of what it gave."""
+    nations = From(t("nation"), "n").select(lambda n: (n.n_nationkey, n.n_name, n.n_regionkey))
+    one = lambda k: nations.where(lambda n: n.n_nationkey == k).df()
+    total = lambda rows: sum(r.n_nationkey for r in rows)
+    everything, chunks, walked = FETCH.to(Nation, FETCH.run(nations.df())), list(FETCH.stream(nations.df(), 10)), list(FETCH.cursor(nations.df()))
+    later = FETCH.later(lambda _: nations.df())(spark)
+    table = Builder("nation").column("n_nationkey", "int4").column("n_name", "text").column("n_regionkey", "int4").build()
+    command = DML.update(table, t("nation").select("n_nationkey", "n_name", "n_regionkey")).set(lambda _: {"n_name": "x"}).where(lambda n: n.n_regionkey == 3).run()
+    rows = [
+        ("run", len(everything), total(everything)), ("unique", 1, FETCH.unique(one(7)).n_nationkey), ("option", 1, FETCH.option(one(8)).n_nationkey), ("option of none", len([x for x in [FETCH.option(one(999))] if x]), None),
+        ("chunks of 10", len(chunks), sum(map(total, chunks))), ("cursor", len(walked), total(walked)), ("later", len(later), total(later)), ("affected", command.count(), None),
+    ]
+    return spark.createDataFrame(rows, "form string, n long, total long")
+
+
+@query("select r_regionkey, r_name, 'app.region' as declared from region")
+def scan_in_schema(spark, t):
+    """A relation of a schema, read back by its declared columns."""
+    declared = Builder("region").column("r_regionkey", "int4").column("r_name", "text").build().in_schema("app")
+    columns = [F.col(c.name).cast(c.spark_type) for c in declared.columns]
+    return t("region").select(*columns, F.lit(declared.full_name).alias("declared"))
+
+
 # validation
 
 
@@ -908,3 +1047,24 @@ def validate_report(spark, t):
     names = lambda table, *cols: V.Live(table.select(*cols))
     report = V.validate(spark, (region, names(t("region"), "r_regionkey", "r_name")), (nation, names(t("nation"), "n_nationkey", "n_name", "n_regionkey")), (keyed, names(t("nation"), "n_nationkey", "n_name", "n_regionkey")), t("region"))
     return V.report_frame(spark, report)
+
+
+@query("""select * from (values ('RelationMissing', 'nowhere', null, 'table', 'nothing'), ('RelationKindMismatch', 'region', null, 'table', 'view'), ('NullabilityMismatch', 'region', 'r_name', 'False', 'True'), ('PrimaryKeyMissing', 'region', null, 'r_regionkey', null),
+('ExtraPrimaryKey', 'nation', null, null, 'n_nationkey'), ('PrimaryKeyColumnsDiffer', 'nation', null, 'n_name', 'n_nationkey'), ('UniqueConstraintMissing', 'nation', null, 'n_name', null), ('ExtraUniqueConstraint', 'nation', null, null, 'n_nationkey'), ('raised', 'all', null, '8', 'ValidationError')) v(kind, relation, "column", expected, actual)""")
+def validate_kinds(spark, t):
+    """Each kind of difference that a catalog's facts show, and the raising form."""
+    region = Builder("region").column("r_regionkey", "int4").column("r_name", "text").build()
+    nation = Builder("nation").column("n_nationkey", "int4").column("n_name", "text").build()
+    regions, nations = t("region").select("r_regionkey", "r_name"), t("nation").select("n_nationkey", "n_name")
+    strict = spark.createDataFrame([], T.StructType().add("r_regionkey", T.IntegerType(), False).add("r_name", T.StringType(), True))
+    pairs = [
+        Builder("nowhere").column("k", "int4").build(), (region, V.Live(regions, "view")), (region, V.Live(strict, declares_nulls=True)), (region.with_primary("r_regionkey"), V.Live(regions, primary=())),
+        (nation, V.Live(nations, primary=("n_nationkey",))), (nation.with_primary("n_name"), V.Live(nations, primary=("n_nationkey",))), (nation.with_unique("n_name"), V.Live(nations, uniques=())), (nation, V.Live(nations, uniques=(("n_nationkey",),))),
+    ]
+    try:
+        V.validate_or_raise(spark, *pairs)
+        raised = ("raised", "nothing", None, None, None)
+    except V.ValidationError as e:
+        raised = ("raised", "all", None, str(len(e.report.mismatches)), type(e).__name__)
+    report = V.report_frame(spark, V.validate(spark, *pairs))
+    return report.union(spark.createDataFrame([raised], report.schema))

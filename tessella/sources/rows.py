@@ -10,6 +10,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read(spark: SparkSession, path: str, kind: str = "parquet", schema=None, **options) -> DataFrame:
+    """Files of any format the session reads (parquet, orc, json, csv, text, avro where its package is loaded).
+
+    Text formats need ``schema`` (a relation's ``struct()``), else they would be scanned once more to guess it.
+    """
+    if schema is None and kind in ("json", "csv"):
+        raise ValueError(f"{kind} files need a schema")
+    reader = spark.read.format(kind).options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
+
+
+def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: tuple[str, ...] = (), **options) -> None:
+    """Write a fresh path; nothing that is there is replaced."""
+    df.write.format(kind).options(**options).partitionBy(*partition_by).mode("errorifexists").save(path)
+
+
 def values(spark: SparkSession, rows: list[dict], schema: str | None = None) -> DataFrame:
     """Literal rows of dictionaries with the same keys; at least one."""
     if not rows:

@@ -238,3 +238,63 @@ def test_overlap_join_finds_each_pair_once(spark):
 def test_dates_in_declared_ranges(spark):
     rows = spark.createDataFrame([(dt.date(2024, 1, 1),)], "d date")
     assert rows.select(F.year("d").alias("y")).first().y == 2024
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mutations_join_by_their_keys(spark):
+    """A condition's equalities are join keys, however many sources there are; no plan is a nested loop or a product."""
+    key = Builder("k").column("id", "int8").column("v", "text").build()
+    current = spark.range(100).select("id", F.lit("a").alias("v"))
+    other, third = spark.range(50).select(F.col("id").alias("a"), F.lit("b").alias("w")), spark.range(50).select(F.col("id").alias("b"))
+    linked = lambda s: (s.t.id == s.o.a) & (s.o.a == s.x.b) & (s.x.b < 20)
+    for table in (key, key.with_primary("id")):
+        for done in (
+            M.update(table, current).from_(other, "o").set(lambda s: {"v": s.o.w}).where(lambda s: s.t.id == s.o.a).run(), M.update(table, current).from_(other, "o").from_(third, "x").set(lambda s: {"v": s.o.w}).where(linked).run(),
+            M.delete(table, current).using(other, "o").where(lambda s: s.t.id == s.o.a).run(), M.delete(table, current).using(other, "o").using(third, "x").where(linked).run(),
+        ):
+            for df in (done.table, done.affected):
+                assert "NestedLoop" not in _plan(df) and "Cartesian" not in _plan(df)
+    done = M.update(key, current).from_(other, "o").from_(third, "x").set(lambda s: {"v": s.o.w}).where(linked).run()
+    assert done.table.filter("v = 'b'").count() == done.count() == 20 and done.table.count() == 100
+    assert M.delete(key, current).using(other, "o").using(third, "x").where(linked).run().table.count() == 80
+
+
+def test_update_from_keeps_equal_rows_and_null_keys(spark):
+    table = Builder("k").column_opt("id", "int8").column_opt("v", "text").build()
+    current = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (2, None), (None, None)], "id long, v string")
+    other = spark.createDataFrame([(1, "z"), (1, "y"), (2, "w"), (None, "q")], "a long, w string")
+    done = M.update(table, current).from_(other, "o").set(lambda s: {"v": s.o.w}).where(lambda s: s.t.id == s.o.a).run()
+    assert sorted(map(str, done.table.collect())) == sorted(map(str, spark.createDataFrame([(1, "y"), (1, "y"), (None, "a"), (2, "w"), (None, None)], "id long, v string").collect()))
+    assert done.count() == 3
+
+
+def test_json_numbers_stay_exact(spark):
+    from tessella.functions import json as J
+
+    row = spark.range(1).select(J.parse(F.lit('{"a": 0.1000000000000000055511151231257827, "b": 12345678901234567890.25, "c": [1.50, 2]}')).alias("v"))
+    row = row.select(J.text(J.delete_key(F.col("v"), "c")).alias("t"), J.contains(F.col("v"), J.parse(F.lit('{"b": 12345678901234567890.26}'))).alias("near"), J.contains(F.col("v"), J.parse(F.lit('{"c": [2]}'))).alias("has")).first()
+    assert "12345678901234567890.25" in row.t and "0.1000000000000000055511151231257827" in row.t
+    assert (row.near, row.has) == (False, True)
+
+
+def test_having_above_windows_is_refused(people):
+    q = From(people, "p").select(lambda p: (p.age, F.lit("x over( y").alias("t"), A.count_all().alias("n"))).group_by(lambda p: p.age).having(lambda p: A.count_all() > 1)
+    assert [(r.age, r.n) for r in q.df().collect()] == [(10, 2)]
+    with pytest.raises(ValueError):
+        From(people, "p").select(lambda p: (p.age, W.over(A.sum_(A.count_all()), W.spec).alias("n"))).group_by(lambda p: p.age).having(lambda p: A.count_all() > 1).df()
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "json", "csv"])
+def test_file_formats(spark, tmp_path, kind):
+    table = Builder("k").column("id", "int8").column_opt("v", "text").column("n", "numeric(10,2)").build()
+    rows = spark.createDataFrame([(1, "a,\"b\"", 1), (2, None, 2)], "id long, v string, n int").select("id", "v", F.col("n").cast("decimal(10,2)"))
+    options = {"header": "true", "escape": '"'} if kind == "csv" else {}
+    SRC.write(rows, str(tmp_path / "t"), kind, **options)
+    back = SRC.read(spark, str(tmp_path / "t"), kind, table.struct(), **options)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect())) and [f.dataType for f in back.schema] == [c.spark_type for c in table.columns]
+    if kind in ("json", "csv"):
+        with pytest.raises(ValueError):
+            SRC.read(spark, str(tmp_path / "t"), kind)
