@@ -23,11 +23,13 @@ _OWN_BASE: list[str] = []
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests) a temporary folder of this process serves.
+    Only where the session names none and all of Spark is this process (unit tests) a temporary folder of it serves.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not _OWN_BASE:
         _OWN_BASE.append(tempfile.mkdtemp(prefix="tessella-"))
     return _OWN_BASE[0]

@@ -14,14 +14,15 @@ whole, without sketches, so long documents lose nothing.
 Verification: the item's shingles, as text, are counted in the document. Hash collisions can only add
 candidates.
 
-Scale: one scan, no shuffle. Items travel as one broadcast of at most ``block_bytes`` of text, measured
-before; a larger benchmark goes in several blocks, each a scan of its own.
+Scale: one scan, no shuffle. Items are read ``block_bytes`` of text at a time; the index that is broadcast is pickled and measured, and
+halved until it is within ``index_bytes``. Each index more is one more scan, so a benchmark takes as many as its size asks for.
 
 Null or empty texts match nothing. Repeated items each match. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -106,6 +107,16 @@ def build_index(items: list[tuple[int | None, str]], containment: Fraction, widt
     return Index(built, values, {own: np.unique(np.concatenate(h)) for own, h in all_hashes.items()})
 
 
+def bounded_indexes(items: list[tuple[int | None, str]], containment: Fraction, width: int, parts: int, most_bytes: int) -> Iterator[Index]:
+    """Indexes over all items, each of at most ``most_bytes`` as it travels; an item alone may be larger."""
+    index = build_index(items, containment, width, parts)
+    if len(items) < 2 or len(pickle.dumps(index)) <= most_bytes:
+        yield index
+        return
+    for half in (items[: len(items) // 2], items[len(items) // 2 :]):
+        yield from bounded_indexes(half, containment, width, parts, most_bytes)
+
+
 def search(index: Index, text: str, containment: Fraction) -> list[tuple[int | None, int, int]]:
     """(item id, its shingles, those found) of every item that the text contains."""
     words, out = _words(text), []
@@ -138,6 +149,7 @@ def find_contaminated(
     width: int = 5,
     parts: int = 8,
     block_bytes: int = 8 << 20,
+    index_bytes: int = 96 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -163,9 +175,9 @@ def find_contaminated(
     out = None
     for block in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), blocks) == block)
-        index = build_index([(r[0], r[1]) for r in part.collect()], share, width, parts)
-        found = rows.mapInArrow(finder(spark.sparkContext.broadcast(index)), fields)
-        out = found if out is None else out.union(found)
+        for index in bounded_indexes([(r[0], r[1]) for r in part.collect()], share, width, parts, index_bytes):
+            found = rows.mapInArrow(finder(spark.sparkContext.broadcast(index)), fields)
+            out = found if out is None else out.union(found)
     return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 

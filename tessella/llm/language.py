@@ -8,15 +8,16 @@ examples kept aside, and picks the least; a small lead over the next language fl
 Up to six languages use the exhaustive code (2^(k-1) - 1 bits), more use the random code with the largest
 least distance of 200 drawn from a fixed seed.
 
-Learning: at most ``sample_rows`` documents, ``per_language`` at most of each of at most ``max_languages``
-languages (the most frequent; ties by name), chosen by the order of a hash of their ids, whole, plus windows of their letters
-so that short texts are seen. Executors turn them to sparse counts; the driver fits the bits. The bounds
-are the same at every size of input.
+Learning: of every language at most ``per_language`` documents, fewer where languages are many (``sample_rows`` over their number, 8
+at least), chosen by the order of a hash of their ids and one a repeated row, whole, plus windows of their letters so that
+short texts are seen. Executors turn them to sparse counts; the driver fits the bits over blocks of them. The bounds are the
+same at every size of input.
 
 Prediction: one scan with broadcast weights of fixed size, over whole texts, without shuffle.
 
 ``und`` where the text is null or holds no letter, or where no language could be learned; its score is 0.
-Null ids are never learned from and not held out. Repeated rows are each predicted. Extra columns are not read.
+Null ids are never learned from and not held out. Repeated rows are each predicted and learned from once; rows that
+share an id but not their text count as different ones. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def codewords(k: int) -> np.ndarray:
     best, most = None, -1
     for _ in range(200):
         code = rng.choice([-1, 1], size=(k, length))
-        apart = (code[:, None, :] != code[None, :, :]).sum(axis=2)
+        apart = (length - code @ code.T) // 2
         least = int((apart + length * np.eye(k, dtype=np.int64)).min())
         if least > most:
             best, most = code, least
@@ -125,16 +126,37 @@ def _examples(dims: int, windows: int):
     return run
 
 
-def fit_bits(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic weights of all bits at once, by Adam over full batches; ``y`` holds -1 and 1."""
-    w, b = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
+#: Examples that are dense at once while bits are fitted.
+DENSE_ROWS = 2048
+
+
+def dense(examples: list[tuple[np.ndarray, np.ndarray]], dims: int) -> np.ndarray:
+    """Sparse (places, shares) as rows."""
+    out = np.zeros((len(examples), dims), dtype=np.float32)
+    for k, (places, shares) in enumerate(examples):
+        out[k, places] = shares
+    return out
+
+
+def fit_bits(examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, scale: float = 1.0, epochs: int = 60, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic weights of all bits at once, by Adam over full batches; ``y`` holds -1 and 1.
+
+    Few examples stay dense; more are made dense block by block in each step.
+    """
+    w, b = np.zeros((dims, y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
     mean, square = np.zeros_like(w), np.zeros_like(w)
+    blocks = [slice(k, k + DENSE_ROWS) for k in range(0, len(examples), DENSE_ROWS)]
+    held = [dense(examples[s], dims) * np.float32(scale) for s in blocks] if len(blocks) <= 4 else None
     for step in range(1, epochs + 1):
-        slope = (-y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30)))).astype(np.float32)
-        grad = x.T @ slope / len(x) + 1e-7 * w
+        grad, lean = 1e-7 * w, np.zeros_like(b)
+        for k, s in enumerate(blocks):
+            x = held[k] if held else dense(examples[s], dims) * np.float32(scale)
+            slope = (-y[s] / (1 + np.exp(np.clip(y[s] * (x @ w + b), -30, 30)))).astype(np.float32)
+            grad += x.T @ slope / len(examples)
+            lean += slope.sum(axis=0) / len(examples)
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-        b -= rate * slope.mean(axis=0)
+        b -= rate * lean
     return w, b
 
 
@@ -149,39 +171,36 @@ def _temperature(margins: np.ndarray, truth: np.ndarray, code: np.ndarray, trust
     return min((1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), key=surprise) if len(truth) else 1.0
 
 
-def fit(docs: DataFrame, learn: Column, per_language: int = 200, sample_rows: int = 1600, max_languages: int = 64, dims: int = 1 << 13, windows: int = 3, ambiguous_lead: float = 0.2) -> LanguageModel | None:
+def fit(docs: DataFrame, learn: Column, per_language: int = 200, sample_rows: int = 1600, dims: int = 1 << 13, windows: int = 3, ambiguous_lead: float = 0.2) -> LanguageModel | None:
     """Learn from rows of ``docs`` (doc_id, text, lang) where ``learn`` holds; None if there are none."""
     spark = docs.sparkSession
-    usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    names = sorted(r[0] for r in top)
+    usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    names = sorted(r[0] for r in usable.select("lang").distinct().collect())
     if not names:
         return None
     each = max(8, min(per_language, sample_rows // len(names)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.filter(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("place", place)
-    chosen = F.broadcast(chosen.filter(F.col("place") <= each).select("doc_id").distinct())  # at most sample_rows ids
+    rows_at_most = each * len(names)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
+    chosen = usable.select("doc_id", "lang", "h").withColumn("place", place).filter(F.col("place") <= each).drop("place").distinct()
+    chosen = F.broadcast(chosen) if rows_at_most <= 100_000 else chosen
     with text_batches(spark):
-        sample = usable.filter(F.col("lang").isin(names)).join(chosen, "doc_id").select("lang", "text")
+        # a row that is repeated comes once, so no more than the chosen rows reach the driver
+        sample = usable.join(chosen, ["doc_id", "lang", "h"]).groupBy("doc_id", "lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
         rows = sample.mapInArrow(_examples(dims, windows), "lang string, places binary, shares binary").collect()
     rows = [r for r in rows if r.places]
     rows.sort(key=lambda r: (r.lang, bytes(r.places), bytes(r.shares)))
     if not rows:
         return None
-    x = np.zeros((len(rows), dims), dtype=np.float32)
-    for k, r in enumerate(rows):
-        x[k, np.frombuffer(r.places, np.int32)] = np.frombuffer(r.shares, np.float32)
-    scale = 50.0
-    x *= scale
-    code = codewords(len(names))
-    y = code[[names.index(r.lang) for r in rows]].astype(np.float32)
+    examples = [(np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32)) for r in rows]
+    scale, code, number = 50.0, codewords(len(names)), {name: k for k, name in enumerate(names)}
+    truth = np.array([number[r.lang] for r in rows])
+    y = code[truth].astype(np.float32)
     aside = np.arange(len(rows)) % 8 == 5
-    w, b = fit_bits(x[~aside], y[~aside])
-    margins = x[aside] @ w + b
+    w, b = fit_bits([e for e, a in zip(examples, aside, strict=True) if not a], y[~aside], dims, scale)
+    margins = np.array([scale * (shares @ w[places]) + b for (places, shares), a in zip(examples, aside, strict=True) if a], dtype=np.float64).reshape(-1, y.shape[1])
     right = (margins * y[aside] > 0).mean(axis=0) if aside.any() else np.ones(code.shape[1])
     trust = np.clip(2 * right - 1, 0.05, 1.0)
-    truth = np.array([names.index(r.lang) for r in rows])[aside]
-    heat = _temperature(margins, truth, code, trust)
+    heat = _temperature(margins, truth[aside], code, trust)
     return LanguageModel(names, code, (w * scale / heat).astype(np.float32), (b / heat).astype(np.float64), trust, ambiguous_lead)
 
 

@@ -113,7 +113,7 @@ def _described(width: int, shared_order, num: int, den: int):
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             columns = [
                 batch.column(0), pa.array([_set_id(own) for own in sets], pa.int64()), pa.array([len(own) for own in sets], pa.int32()),
-                pa.array(np.array([fingerprint(own)[0] for own in sets], dtype=np.uint64).view(np.int64)),
+                pa.array(np.array([fingerprint(own) for own in sets], dtype=np.uint64).view(np.int64)),
                 pa.array([bitmap(own) for own in sets], pa.binary()), pa.array([prefix(own, common, rank, num, den).tobytes() for own in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "p0", "bits", "prefix"])
@@ -334,11 +334,11 @@ def _similar(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int,
         shared = scratch.save(rows.mapInArrow(_shared(num, den), fields), "shared")
 
     # 3. forests of candidates, then all that are still apart
-    shared = scratch.save(shared.drop("comp").join(sets.select(F.col("node").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of"), "rows")
+    rows = scratch.save(shared.join(sets.select(F.col("node").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of"), "rows")
     links = first
     for forest in (True, False):
-        rows = placed(shared, links, "key", "n", "pos", "bits")
-        rows = rows.select("key", "node", "comp", "n", "pos", "bits").repartition("key").sortWithinPartitions("key", "n", "node")
+        met = rows if forest else placed(rows.drop("comp"), links, "key", "n", "pos", "bits")
+        met = met.select("key", "node", "comp", "n", "pos", "bits").repartition("key").sortWithinPartitions("key", "n", "node")
         with text_batches(spark, 1000):
-            links = links.union(verified(rows.mapInArrow(_apart(num, den, forest), "u long, v long"), f"prefix-links-{forest}"))
+            links = links.union(verified(met.mapInArrow(_apart(num, den, forest), "u long, v long"), f"prefix-links-{forest}"))
     return placed(told.select("doc_id", "node"), links, "doc_id").select("doc_id", "node", F.col("comp").alias("component_id"))

@@ -14,16 +14,14 @@ Probing: a fingerprint enters the index of partition ``i`` under its own bits, a
 within ``t_i`` bits. Probes and entries of a key meet in one bucket. Equal fingerprints are one row. A
 bucket is not turned into pairs: it is read in blocks of ``block_rows``, pairs of blocks are compared by
 numpy (exclusive or, bit count) and only the links of a spanning forest leave a task, at most one less
-than its rows. Buckets above ``block_rows`` are dealt over tasks as pairs of blocks, so that no task
-holds more than two blocks of a bucket.
+than its rows.
 
-Components then follow from the forest links (see :mod:`tessella.llm.components`).
+Large buckets, above ``block_rows``, are not compared whole: the bits outside their partition are dealt into ``distance + 1``
+further ones, in one of which two fingerprints within the distance agree, and rows meet by that key as well. So a
+bucket of random fingerprints falls into thousands. What is large even then is dealt over tasks as pairs of
+blocks, so that no task holds more than two blocks of a bucket.
 
-Wide fingerprints: with ``words`` over 1 the hashes are mixed anew for each further 64 bits. Links at a
-similarity of 0.8 are then farther apart than any exact plan can probe cheaply, so :func:`sampled_plan`
-deals correlated bits over ``tables`` overlapping partitions of ``key_bits`` bits, threshold 0. Of pairs with bits that differ
-independently at rate ``r``, a share of ``1 - (1 - (1 - r) ** key_bits) ** tables`` meets: for 18 bits and 40
-tables 88 % at a Jaccard similarity of 0.8, 97 % at 0.85, 99.6 % at 0.9, and all at 12 bits or fewer.
+Components then follow from the forest links (see :mod:`tessella.llm.components`).
 
 Null text is empty text: its fingerprint is zero and links like any other. Texts with fewer words than a
 shingle are hashed as one sequence. Repeated rows and ties share a fingerprint. Null ids sort last and
@@ -34,15 +32,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, text_batches
+from tessella.llm.common import Scratch, freed_shuffles, text_batches
 from tessella.llm.components import components
 
 BITS = 64
@@ -64,48 +64,31 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter((hashed(g, 42) for g in grams), dtype=np.uint64, count=len(grams))
 
 
-def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
-    """The fingerprint of shingle hashes as unsigned longs, lowest bits first; no hashes give zero."""
-    out = np.zeros(words, dtype=np.uint64)
+def fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes; no hashes give zero."""
     if not len(hashes):
-        return out
-    for k in range(words):
-        mixed = hashes
-        if k:
-            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-            mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-            mixed ^= mixed >> np.uint64(31)
-        each = mixed.astype("<u8").view(np.uint8).reshape(-1, 8)
-        if len(hashes) > 64:
-            counts = np.concatenate([np.bincount(each[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
-        else:
-            counts = np.unpackbits(each, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
-    return out
-
-
-def print_columns(words: int) -> list[str]:
-    """Columns of a fingerprint of so many words."""
-    return [f"p{k}" for k in range(words)]
+        return 0
+    each = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    if len(hashes) > 64:
+        counts = np.concatenate([np.bincount(each[:, j], minlength=256) @ _BYTE_BITS for j in range(8)])
+    else:
+        counts = np.unpackbits(each, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(width: int, words: int):
+def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            prints = np.zeros((len(texts), words), dtype=np.uint64)
-            for k, text in enumerate(texts):
-                prints[k] = fingerprint(shingle_hashes(text.encode(), width), words)
-            columns = [pa.array(prints[:, k].copy().view(np.int64)) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *print_columns(words)])
+            prints = np.array([fingerprint(shingle_hashes(text.encode(), width)) for text in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "p0"])
 
     return run
 
 
-def fingerprint_table(docs: DataFrame, width: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p0, ...) of every document; each word holds 64 bits as a signed long. Lazy."""
+def fingerprint_table(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, p0) of every document, the fingerprint as a signed long. Lazy."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_fingerprints(width, words), ", ".join(["doc_id long", *(f"{c} long" for c in print_columns(words))]))
+    return rows.mapInArrow(_fingerprints(width), "doc_id long, p0 long")
 
 
 @dataclass(frozen=True)
@@ -144,25 +127,6 @@ def _correlated_order(sample: np.ndarray) -> list[int]:
     return order
 
 
-def sampled_plan(sample: np.ndarray, tables: int, key_bits: int) -> list[Partition]:
-    """Overlapping partitions of wide fingerprints: each takes bits far apart in the order of correlation."""
-    order = _correlated_order(sample) if len(sample) > 1 else list(range(sample.shape[1] * BITS))
-    size = len(order)
-    rng, out, left = np.random.default_rng(11), [], []
-    for _ in range(tables):
-        chosen: list[int] = []
-        while len(chosen) < key_bits:
-            if not left:  # each round of partitions deals every bit once
-                turn = int(rng.integers(size))
-                left = [order[(turn + k * step) % size] for step in (int(rng.choice([3, 5, 7, 11, 13])),) for k in range(size)]
-                left = list(dict.fromkeys(left)) + [b for b in order if b not in set(left)]
-            bit = left.pop()
-            if bit not in chosen:
-                chosen.append(bit)
-        out.append(Partition(tuple(chosen), 0))
-    return out
-
-
 def plan_partitions(sample: np.ndarray, distance: int, total: int, most_probes: int = 400) -> list[Partition]:
     """Partitions and unequal thresholds of least estimated cost for ``total`` distinct fingerprints.
 
@@ -213,20 +177,44 @@ def _flips(bits: int, threshold: int) -> np.ndarray:
 
 
 def _probes(plan: list[Partition]):
-    """(part, key, entry, node, p0, ...) rows of (node, p0, ...): one entry and the probes of each partition."""
+    """(part, key, entry, node, p0) rows of (node, p0): one entry and the probes of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, *words = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-            prints = np.stack([w.view(np.uint64) for w in words], axis=1)
+            node, own_print = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            prints = own_print.view(np.uint64)[:, None]
             for number, part in enumerate(plan):
                 own = _extract(prints, part.bits)
                 masks = _flips(len(part.bits), part.threshold)
                 keys = np.concatenate([own, *[own ^ m for m in masks]])
                 rows, times = len(keys), 1 + len(masks)
                 columns = [np.full(rows, number, dtype=np.int32), keys.view(np.int64), np.arange(rows) < len(node)]
-                columns += [np.tile(c, times) for c in (node, *words)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "entry", "node", *print_columns(len(words))])
+                columns += [np.tile(c, times) for c in (node, own_print)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "key", "entry", "node", "p0"])
+
+    return run
+
+
+def rest_parts(part: Partition, distance: int) -> list[tuple[int, ...]]:
+    """The bits outside a partition in ``distance + 1`` parts."""
+    rest = [b for b in range(BITS) if b not in set(part.bits)]
+    return [tuple(rest[k :: distance + 1]) for k in range(distance + 1)]
+
+
+def _again(plan: list[Partition], distance: int):
+    """Rows of large buckets under the key of each part of the other bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            number = batch.column(0).to_numpy(zero_copy_only=False)
+            prints = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in batch.columns[names.index("node") + 1 :]], axis=1)
+            for which in np.unique(number):
+                own = np.flatnonzero(number == which)
+                rows = batch.take(pa.array(own))
+                for sub, bits in enumerate(rest_parts(plan[which], distance)):
+                    keys = _extract(prints[own], bits).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(own), sub, dtype=np.int32)), pa.array(keys)], names=[*names, "sub", "subkey"])
 
     return run
 
@@ -300,15 +288,19 @@ def spanning(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(min(u, v), max(u, v)) for u, v in links if trees.join(u, v)]
 
 
+#: Rows that agree in these meet.
+PLACE = ("part", "key", "sub", "subkey", "i", "j")
+
+
 def _compare(distance: int):
-    """Links among sorted rows (part, key, i, j, side, node, p0, ...); side 2 meets all, 0 meets 1.
+    """Links among sorted rows (those of PLACE, side, node, p0); side 2 meets all, 0 meets 1.
 
     Only the last run of a batch waits for the next one, so a worker holds a batch and one block pair.
     """
 
     def links(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
         change = np.zeros(len(rows["part"]), dtype=bool)
-        for name in ("part", "key", "i", "j"):
+        for name in PLACE:
             change[1:] |= rows[name][1:] != rows[name][:-1]
         group = np.cumsum(change)
         sizes = np.bincount(group) if len(group) else np.array([], dtype=np.int64)
@@ -327,11 +319,10 @@ def _compare(distance: int):
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
             new = {name: batch.column(k).to_numpy(zero_copy_only=False) for k, name in enumerate(batch.schema.names)}
-            words = [new.pop(name).astype(np.int64).view(np.uint64) for name in batch.schema.names[6:]]
-            new["print"] = np.stack(words, axis=1)
+            new["print"] = new.pop("p0").astype(np.int64).view(np.uint64)[:, None]
             rows = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new}
             last = np.ones(len(rows["part"]), dtype=bool)
-            for name in ("part", "key", "i", "j"):
+            for name in PLACE:
                 last &= rows[name] == rows[name][-1:]
             cut = len(last) - int(last.sum())
             held = {k: v[cut:] for k, v in rows.items()}
@@ -343,57 +334,63 @@ def _compare(distance: int):
     return run
 
 
-def near_links(
-    reps: DataFrame, scratch: Scratch, distance: int = 3, tables: int = 0, key_bits: int = 18, sample_rows: int = 2000, block_rows: int = 4096
-) -> DataFrame:
-    """Links (u, v) between the nodes of distinct fingerprints (node, p0, ...) that keep all components of ``distance``.
+def near_links(reps: DataFrame, scratch: Scratch, distance: int = 3, sample_rows: int = 2000, block_rows: int = 4096) -> DataFrame:
+    """Links (u, v) between the nodes of distinct fingerprints (node, p0) that keep all components of ``distance``.
 
-    ``tables`` of 0 probes by the exact plan, for one word; else so many sampled partitions are probed.
     ``sample_rows`` bounds the sample that shapes the plan; it is the same at every size of input.
     """
-    words = [c for c in reps.columns if c != "node"]
     total = reps.count()
-    rows = reps.orderBy(F.xxhash64(*words), *words).limit(sample_rows).collect()
-    sample = np.array([[r[w] for w in words] for r in rows], dtype=np.int64).reshape(-1, len(words)).view(np.uint64)
-    plan = sampled_plan(sample, tables, key_bits) if tables else plan_partitions(sample, distance, max(total, 1))
-    fields = ", ".join(["part int, key long, entry boolean, node long", *(f"{w} long" for w in words)])
-    rows = scratch.save(reps.select("node", *words).mapInArrow(_probes(plan), fields), "probes")
-    # a small bucket is one block; in a large one blocks of entries meet blocks of rows
-    sizes = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("entry").cast("long")).alias("entries"))
-    large = scratch.save(sizes.filter(F.col("n") > block_rows).select(F.col("part").alias("p"), F.col("key").alias("k"), "n", "entries"), "buckets")
-    met = rows.join(large, (F.col("part") == F.col("p")) & (F.col("key") == F.col("k")), "left").drop("p", "k")
+    rows = reps.orderBy(F.xxhash64("p0"), "p0").limit(sample_rows).collect()
+    sample = np.array([r.p0 for r in rows], dtype=np.int64).view(np.uint64)
+    plan = plan_partitions(sample, distance, max(total, 1))
+    fields = "part int, key long, entry boolean, node long, p0 long"
+    rows = scratch.save(reps.select("node", "p0").mapInArrow(_probes(plan), fields), "probes")
+
+    def large_of(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("entry").cast("long")).alias("entries"))
+        return scratch.save(sizes.filter(F.col("n") > block_rows).select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "entries"), name)
+
+    on = lambda *keys: reduce(and_, [F.col(k) == F.col(f"_{k}") for k in keys])
+    whole = rows.withColumns({"sub": F.lit(-1), "subkey": F.lit(0).cast("long")})
+    large = large_of(rows, "buckets", "part", "key").drop("n", "entries")
+    if large.take(1):
+        met = rows.join(large, on("part", "key")).drop("_part", "_key")
+        again = scratch.save(met.mapInArrow(_again(plan, distance), f"{fields}, sub int, subkey long"), "probes-again")
+        whole = whole.join(large, on("part", "key"), "left_anti").union(again.select(*whole.columns))
+    else:
+        again = None
+    keys = PLACE[:4]
+    if again is None:
+        met = whole.withColumns({"n": F.lit(None).cast("long"), "entries": F.lit(None).cast("long")})
+    else:  # a small bucket is one block; in one that is large still blocks of entries meet blocks of rows
+        met = whole.join(large_of(again, "buckets-again", *keys), on(*keys), "left").drop(*[f"_{k}" for k in keys])
     pair = "array<struct<i:int,j:int,side:int>>"
     blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
     spot = F.xxhash64("node")
     as_entry = F.when(F.col("entry"), F.transform(F.sequence(F.lit(0), blocks("n") - 1), lambda j: F.struct(F.pmod(spot, blocks("entries")).cast("int").alias("i"), j.alias("j"), F.lit(0).alias("side"))))
     as_row = F.transform(F.sequence(F.lit(0), blocks("entries") - 1), lambda i: F.struct(i.alias("i"), F.pmod(spot, blocks("n")).cast("int").alias("j"), F.lit(1).alias("side")))
-    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
+    single = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
     spots = (
-        F.when(F.col("n").isNull(), whole).when(F.col("entries") == 0, F.array().cast(pair))  # probes alone need not meet
+        F.when(F.col("n").isNull(), single).when(F.col("entries") == 0, F.array().cast(pair))  # probes alone need not meet
         .otherwise(F.concat(F.coalesce(as_entry, F.array().cast(pair)), as_row))
     )
-    dealt = met.select("part", "key", "node", *words, F.explode(spots).alias("b")).select("part", "key", "b.i", "b.j", "b.side", "node", *words)
-    place = ("part", "key", "i", "j")
-    links = dealt.repartition(*place).sortWithinPartitions(*place, "side").mapInArrow(_compare(distance), "u long, v long")
+    dealt = met.select(*keys, "node", "p0", F.explode(spots).alias("b")).select(*keys, "b.i", "b.j", "b.side", "node", "p0")
+    links = dealt.repartition(*PLACE).sortWithinPartitions(*PLACE, "side").mapInArrow(_compare(distance), "u long, v long")
     links = scratch.save(links.distinct(), "print-links")
-    scratch.drop("probes", "buckets")
+    scratch.drop("probes", "buckets", *(["probes-again", "buckets-again"] if again is not None else []))
     return links
 
 
-def near_duplicates(
-    docs: DataFrame, scratch: Scratch, width: int = 3, distance: int = 3, words: int = 1, tables: int = 0, key_bits: int = 18
-) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits a word), component_id (the smallest id reachable) of every document."""
+def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = 3, distance: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable) of every document."""
     spark = docs.sparkSession
-    columns = print_columns(words)
-    with text_batches(spark, 256):
-        prints = scratch.save(fingerprint_table(docs, width, words), "fingerprints")
-    reps = scratch.save(prints.groupBy(*columns).agg(F.min("doc_id").alias("node")), "reps")
-    with text_batches(spark, 10000):
-        links = near_links(reps.filter("node is not null"), scratch, distance, tables, key_bits)
-    found = components(links, scratch).select(F.col("id").alias("node"), "component")
-    rooted = reps.join(found, "node", "left").select(*[F.col(c).alias(f"r_{c}") for c in columns], F.coalesce("component", "node").alias("component_id"))
-    rooted = scratch.save(rooted, "rooted")
-    same = [F.col(c) == F.col(f"r_{c}") for c in columns]
-    digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(columns)])
-    return prints.join(rooted, same).select("doc_id", digits.alias("fingerprint"), "component_id")
+    with freed_shuffles(spark):
+        with text_batches(spark, 256):
+            prints = scratch.save(fingerprint_table(docs, width), "fingerprints")
+        reps = scratch.save(prints.groupBy("p0").agg(F.min("doc_id").alias("node")), "reps")
+        with text_batches(spark, 10000):
+            links = near_links(reps.filter("node is not null"), scratch, distance)
+        found = components(links, scratch).select(F.col("id").alias("node"), "component")
+        rooted = reps.join(found, "node", "left").select(F.col("p0").alias("r"), F.coalesce("component", "node").alias("component_id"))
+        rooted = scratch.save(rooted, "rooted")
+    return prints.join(rooted, F.col("p0") == F.col("r")).select("doc_id", F.lower(F.lpad(F.hex("p0"), 16, "0")).alias("fingerprint"), "component_id")

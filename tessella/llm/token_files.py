@@ -12,12 +12,14 @@ A block is a header, the document ids, the boundaries and the concatenated ids:
   bit as uint32. One offset costs about 2 + log2(ids / documents) bits.
 * Ids take 2 bytes each while all are below 65,536, else 4.
 
-Files hold one or more blocks, each followed by one line feed, in ascending id order; the file number
-is the place of its id range. Spark's committer writes them to whatever store the path names, so a task
-that is lost or run twice leaves no partial or double file.
+Files hold one or more blocks, each followed by one line feed, in ascending id order; a block's file number
+is the place of its id range and its block number the place in it. Spark's committer writes them to whatever store the
+path names, so a task that is lost or run twice leaves no partial or double file.
 
-Scale: one shuffle carries each text once, by sampled ranges of (id, digest), so no range depends on
-how rows were dealt before; a file takes about ``file_text_bytes`` of text. Readers get a file a row.
+Scale: one shuffle carries each text once, by sampled ranges of (id, digest, place in the input), so rows that are repeated are
+split, too. A range takes about ``file_text_bytes`` of text, and more where there would be over ``most_ranges``; its blocks then
+fill several files of ``file_blocks`` each, so readers, who get a file a row, hold no more of it. Running totals go by
+ranges first and by blocks inside a range, so no task sees more rows than there are ranges.
 
 Null text is empty text and still gets its end id. Null ids come first. Repeated rows are each stored.
 Extra columns are not read. An empty table makes no block.
@@ -117,11 +119,11 @@ def pack_block(file_no: int, block_no: int, doc_ids: list[int | None], ids: list
     return head + doc_part + bound_part + flat.tobytes()
 
 
-def unpack_blocks(content: bytes) -> Iterator[tuple[int, list[int | None], EliasFano, np.ndarray]]:
-    """(file number, document ids, boundaries, ids) of each block of a file."""
+def unpack_blocks(content: bytes) -> Iterator[tuple[int, int, list[int | None], EliasFano, np.ndarray]]:
+    """(file number, block number, document ids, boundaries, ids) of each block of a file."""
     at = 0
     while at < len(content):
-        magic, file_no, _, n_docs, n_null, n_ids, *lengths = HEADER.unpack_from(content, at)
+        magic, file_no, block_no, n_docs, n_null, n_ids, *lengths = HEADER.unpack_from(content, at)
         if magic != MAGIC:
             raise ValueError("not a token-id block")
         at += HEADER.size
@@ -137,7 +139,7 @@ def unpack_blocks(content: bytes) -> Iterator[tuple[int, list[int | None], Elias
         if bounds.n != n_docs + 1 or bounds.select(n_docs) != n_ids:
             raise ValueError("boundaries disagree with the ids")
         width = 2 if lengths[2] == 2 * n_ids else 4
-        yield file_no, [None] * n_null + known.tolist(), bounds, np.frombuffer(parts[2], f"<u{width}")
+        yield file_no, block_no, [None] * n_null + known.tolist(), bounds, np.frombuffer(parts[2], f"<u{width}")
 
 
 def _writer(tokenizer: str, end_id: int, block_ids: int):
@@ -170,6 +172,8 @@ def write_token_files(
     end_id: int = 0,
     file_text_bytes: int = 16 << 20,
     block_ids: int = 2 << 20,
+    file_blocks: int = 4,
+    most_ranges: int = 20000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
@@ -177,40 +181,50 @@ def write_token_files(
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    files = max(1, -(-total // file_text_bytes))
-    ordered = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ranges = max(1, min(most_ranges, -(-total // file_text_bytes)))
+    order = ("doc_id", "digest", "place")
+    placed = rows.withColumns({"digest": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
     with text_batches(spark):
         blocks = ordered.mapInArrow(_writer(tokenizer, end_id, block_ids), "block binary")
-        blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+        blocks.select(F.col("block").cast("string").alias("value")).write.options(lineSep="\n", maxRecordsPerFile=file_blocks).text(path)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "file_no", "local_start", "n_tokens", "ids_crc32"]
+    names = ["doc_id", "file_no", "block_no", "local_start", "n_tokens", "ids_crc32"]
     for batch in batches:
         for content in batch.column(0):
-            before = 0
-            for file_no, docs, bounds, ids in unpack_blocks(content.as_py()):
+            for file_no, block_no, docs, bounds, ids in unpack_blocks(content.as_py()):
                 ends = bounds.all()
                 wide = ids.astype("<u4")
                 crcs = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                columns = [docs, [file_no] * len(docs), ends[:-1] + before, np.diff(ends), crcs]
+                columns = [docs, [file_no] * len(docs), [block_no] * len(docs), ends[:-1], np.diff(ends), crcs]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-                before += len(ids)
 
 
 def read_token_files(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every stored document, from the files alone.
-
-    Only one row a file crosses to a single task, for the running total of ids.
-    """
+    """doc_id, start, n_tokens, ids_crc32 of every stored document, from the files alone."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("content")
     with text_batches(spark, 1):
         rows = scratch.save(
-            files.mapInArrow(_reader, "doc_id long, file_no long, local_start long, n_tokens long, ids_crc32 long"), "documents"
+            files.mapInArrow(_reader, "doc_id long, file_no long, block_no long, local_start long, n_tokens long, ids_crc32 long"), "documents"
         )
-    totals = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select(
-        "file_no",
-        F.coalesce(F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
-    )
-    return rows.join(before, "file_no").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    earlier = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = rows.groupBy("file_no", "block_no").agg(F.sum("n_tokens").alias("n"))
+    blocks = blocks.withColumn("inside", earlier(Window.partitionBy("file_no").orderBy("block_no")))
+    # a row a range, of which there are at most ``most_ranges``
+    ranges = rows.groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
+    ranges = ranges.select("file_no", earlier(Window.orderBy("file_no")).alias("base"))
+    before = blocks.join(ranges, "file_no").select("file_no", "block_no", (F.col("base") + F.col("inside")).alias("base"))
+    return rows.join(before, ["file_no", "block_no"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_document(content: bytes, doc_id: int) -> list[np.ndarray]:
+    """The ids of a document's rows in a file, by two selects of its boundaries each; no other offset is decoded."""
+    out = []
+    for _, _, docs, bounds, ids in unpack_blocks(content):
+        known = np.array([d for d in docs if d is not None], dtype=np.int64)
+        nulls = len(docs) - len(known)
+        for k in range(int(np.searchsorted(known, doc_id)), int(np.searchsorted(known, doc_id, side="right"))):
+            out.append(ids[bounds.select(nulls + k) : bounds.select(nulls + k + 1)])
+    return out

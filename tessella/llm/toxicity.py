@@ -13,8 +13,8 @@ every size of input. Rows with null labels are not learned from.
 Scoring: one scan over whole texts with the broadcast weights, no shuffle.
 
 Null or empty texts score what the intercept says. Without labelled rows every score is 0.5 less a hair, so nothing
-is predicted toxic. Null ids are never learned from and not held out. Documents with several labels are
-learned from once for each. Repeated rows are each scored. Extra columns are not read.
+is predicted toxic. Null ids are never learned from and not held out. Documents with several different labels are
+learned from once for each; of rows that share an id one text is learned from. Repeated rows are each scored. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -97,11 +97,13 @@ def _places(dims: int):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12000, dims: int = 1 << 18, epochs: int = 4) -> ToxicityModel:
     """Learn from ``labels`` (doc_id, toxic) and the texts of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
     chosen = known.withColumn("spot", F.xxhash64("doc_id")).orderBy("spot", "doc_id", "label").limit(sample_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     with text_batches(spark):
-        joined = texts.join(F.broadcast(chosen), "doc_id").select("spot", "label", "text")  # at most sample_rows rows
+        joined = texts.join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows are broadcast
+        # one text an id, so no more than the chosen rows reach the driver
+        joined = joined.groupBy("spot", "doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("spot", "label", "text")
         rows = joined.mapInArrow(_places(dims), "spot long, label int, places binary").collect()
     rows.sort(key=lambda r: (r.spot, r.label, bytes(r.places)))
     learner = FtrlProximal(dims)

@@ -4,16 +4,17 @@ Writing: each page becomes one record, or several segments of at most ``segment_
 Among pages with equal payloads of ``revisit_bytes`` or more, the one with the largest id is the
 response; the rest are ``revisit`` records that name it and hold no payload. The block of a response is
 an HTTP message whose body is in chunked transfer framing. Records are rows that Spark's text writer
-puts out byte for byte, with the blank lines that end a WARC record as its line separator, so output is
-committed once a task, in any store.
+puts out byte for byte, as many in a row as ``bundle_bytes`` hold, with the blank lines that end a WARC record between and after
+them, so output is committed once a task, in any store.
 
-Reading: whole records are decoded where they lie; segments alone are shuffled, grouped by the origin's
+Reading: archives are parsed once. Whole records are decoded where they lie; segments alone are shuffled, grouped by the origin's
 record id, ordered by segment number and checked for gaps and against the total length. Then the chunked
 framing is removed and the payload digest verified.
 
 Scale: payloads of responses cross one join on their digest. The join's other side (one row for each
 payload that occurs twice or more) is a written table, so adaptive execution can split a hot payload.
-Group counts are combined before their shuffle. ``records_per_file`` bounds what a reader loads at once.
+Group counts are combined before their shuffle. A reader loads a file at once, of ``bundles_per_file`` times ``bundle_bytes`` and
+a record at most. A page longer than that is segments in several files; its reassembly holds the page in one task.
 
 Null html is an empty payload, a null url a URN of the page, a null page id no ``X-Page-Id`` field.
 Repeated pages each get their record: with equal ids none revisits the other. Extra columns are not
@@ -35,6 +36,7 @@ from tessella.llm.common import Scratch, text_batches
 
 VERSION = b"WARC/1.1"
 CRLF = b"\r\n"
+SEPARATOR = CRLF + CRLF
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Stated on every record; archives of one run are dated alike, so that a task run twice writes the same bytes.
@@ -137,7 +139,8 @@ def write_warc(
     revisit_bytes: int = 1000,
     segment_bytes: int = 1 << 16,
     chunk_bytes: int = 1 << 13,
-    records_per_file: int = 4096,
+    bundle_bytes: int = 2 << 20,
+    bundles_per_file: int = 16,
 ) -> None:
     """Write the records of ``pages`` (page_id, url, html) as archive files under ``path``."""
     spark = pages.sparkSession
@@ -156,23 +159,29 @@ def write_warc(
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, row = TaskContext.get().partitionId(), 0
+        part, row, held, size = TaskContext.get().partitionId(), 0, [], 0
+        bundle = lambda: pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(held)], pa.binary())], names=["records"])
         for batch in batches:
-            out = []
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += page_records(*values, f"{part}.{row}", segment_bytes, chunk_bytes)
+                for record in page_records(*values, f"{part}.{row}", segment_bytes, chunk_bytes):
+                    held.append(record)
+                    size += len(record)
+                    if size >= bundle_bytes:
+                        yield bundle()
+                        held, size = [], 0
                 row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+        if held:
+            yield bundle()
 
     with text_batches(spark):
-        records = decided.mapInArrow(build, "record binary")
-        records.select(F.col("record").cast("string").alias("value")).write.options(lineSep="\r\n\r\n", maxRecordsPerFile=records_per_file).text(path)
+        records = decided.mapInArrow(build, "records binary")
+        records.select(F.col("records").cast("string").alias("value")).write.options(lineSep=SEPARATOR.decode(), maxRecordsPerFile=bundles_per_file).text(path)
     scratch.drop("doubles")
 
 
 PAGE_FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 PAGE_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-SEGMENT_FIELDS = "origin binary, number int, total long, page_id long, digest binary, block binary"
+SEGMENT_FIELDS = "origin binary, number int, total long, digest binary, block binary"
 
 
 def _page(fields: dict, block: bytes | None, keep: bool) -> tuple:
@@ -188,34 +197,27 @@ def _page(fields: dict, block: bytes | None, keep: bool) -> tuple:
     return page, len(payload), stated.hex(), "response", None, payload if keep else None
 
 
-def _read_whole(keep: bool):
+def _parsed(keep: bool):
+    """Rows of pages (``origin`` null) from whole records, and rows of segments from others."""
+    names = [*PAGE_SCHEMA.names, "origin", "number", "total", "digest", "block"]
+    kinds = [*PAGE_SCHEMA.types, pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+    def row(f: dict, block: bytes) -> tuple:
+        if b"warc-segment-number" not in f:
+            return (*_page(f, block, keep), None, None, None, None, None)
+        total, page = f.get(b"warc-segment-total-length"), f.get(b"x-page-id")
+        origin = f.get(b"warc-segment-origin-id", f[b"warc-record-id"])
+        return (int(page) if page else None, None, None, None, None, None, origin, int(f[b"warc-segment-number"]), int(total) if total else None, f.get(b"warc-payload-digest"), block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = [_page(f, b, keep) for f, b in parse_records(content.as_py()) if b"warc-segment-number" not in f]
-                yield pa.RecordBatch.from_pylist([dict(zip(PAGE_SCHEMA.names, r, strict=True)) for r in rows], schema=PAGE_SCHEMA)
+                columns = list(zip(*(row(*r) for r in parse_records(content.as_py())), strict=True)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
 
-def _read_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["origin", "number", "total", "page_id", "digest", "block"]
-    kinds = [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    for batch in batches:
-        for content in batch.column(0):
-            rows = []
-            for f, block in parse_records(content.as_py()):
-                if b"warc-segment-number" in f:
-                    total = f.get(b"warc-segment-total-length")
-                    page = f.get(b"x-page-id")
-                    rows.append((
-                        f.get(b"warc-segment-origin-id", f[b"warc-record-id"]), int(f[b"warc-segment-number"]),
-                        int(total) if total else None, int(page) if page else None, f.get(b"warc-payload-digest"), block,
-                    ))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
 def assemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
     """The block of a record from its (number, total length, block) segments; gaps and wrong totals raise."""
     ordered = sorted(segments, key=lambda s: s[0])
@@ -242,14 +244,16 @@ def _reassemble(keep: bool):
     return run
 
 
-def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, scratch: Scratch, keep_payload: bool = False) -> DataFrame:
     """A row per page of the archives under ``path``: page_id, payload_bytes, payload_digest, record_type,
     refers_to and, where asked for, the decoded payload of responses."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") > 0).select("content")
     fields = f"{PAGE_FIELDS}, payload binary"
-    whole = files.mapInArrow(_read_whole(keep_payload), fields)
+    with text_batches(spark, 1):
+        parsed = scratch.save(files.mapInArrow(_parsed(keep_payload), f"{fields}, {SEGMENT_FIELDS}"), "parsed")
+    whole = parsed.filter("origin is null").select(*PAGE_SCHEMA.names)
     grouped = (
-        files.mapInArrow(_read_segments, SEGMENT_FIELDS)
+        parsed.filter("origin is not null")
         .groupBy("origin")
         .agg(F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.collect_list(F.struct("number", "total", "block")).alias("segments"))
         .select("page_id", "digest", "segments")
@@ -263,4 +267,4 @@ def warc_round_trip(pages: DataFrame, scratch: Scratch) -> DataFrame:
     spark = pages.sparkSession
     write_warc(pages, scratch.path("archives"), scratch)
     with text_batches(spark, 1):
-        return scratch.save(read_warc(spark, scratch.path("archives")), "pages")
+        return scratch.save(read_warc(spark, scratch.path("archives"), scratch), "pages")

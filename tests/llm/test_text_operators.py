@@ -107,8 +107,8 @@ def pages(spark):
 @pytest.mark.parametrize("segment", [300, 1 << 16])
 def test_warc_round_trip(spark, pages, segment):
     scratch = Scratch(spark, "t-warc")
-    warc.write_warc(pages, scratch.path("a"), scratch, segment_bytes=segment, chunk_bytes=77, records_per_file=3)
-    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(spark, scratch.path("a")).collect())
+    warc.write_warc(pages, scratch.path("a"), scratch, segment_bytes=segment, chunk_bytes=77, bundle_bytes=900, bundles_per_file=2)
+    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(spark, scratch.path("a"), scratch).collect())
     rows = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
     top = {}
     for page, body in rows:
@@ -124,7 +124,7 @@ def test_warc_round_trip(spark, pages, segment):
 def test_warc_payload_and_faults(spark, pages):
     scratch = Scratch(spark, "t-warc")
     warc.write_warc(pages.filter("page_id = 3"), scratch.path("a"), scratch, segment_bytes=500)
-    assert warc.read_warc(spark, scratch.path("a"), keep_payload=True).first().payload == pages.filter("page_id = 3").first().html.encode()
+    assert warc.read_warc(spark, scratch.path("a"), scratch, keep_payload=True).first().payload == pages.filter("page_id = 3").first().html.encode()
     assert warc.warc_round_trip(pages.limit(0), Scratch(spark, "t-warc")).count() == 0
     for bad in ([(1, None, b"a"), (3, 2, b"b")], [(1, None, b"a"), (2, 9, b"b")], [(1, None, b"a")]):
         with pytest.raises(ValueError):
@@ -179,7 +179,7 @@ def test_elias_fano():
 
 def test_token_files(spark, docs, texts, none):
     scratch = Scratch(spark, "t-files")
-    token_files.write_token_files(docs, scratch.path("f"), file_text_bytes=9000, block_ids=500)
+    token_files.write_token_files(docs, scratch.path("f"), file_text_bytes=9000, block_ids=500, file_blocks=2, most_ranges=3)
     rows = token_files.read_token_files(spark, scratch.path("f"), scratch).collect()
     model = load(public_path("byte_bpe_50k.json"))
     order = sorted([(k * 7, t or "") for k, t in enumerate(texts)])
@@ -192,6 +192,18 @@ def test_token_files(spark, docs, texts, none):
         want[doc] = (start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in rows} == want
+    contents = [bytes(r.content) for r in spark.read.format("binaryFile").load(scratch.path("f")).filter("length > 0").collect()]
+    for doc, t in order[:: 5]:
+        found = [x.astype("<u4").tobytes() for c in contents for x in token_files.read_document(c, doc)]
+        assert found == [model.encode([t])[0] + b"\0\0\0\0"]
+    same = spark.createDataFrame([(3, "one text")] * 500 + [(4, None)] * 40, "doc_id long, text string").repartition(4)
+    again = Scratch(spark, "t-files")
+    token_files.write_token_files(same, again.path("f"), file_text_bytes=500)
+    rows = token_files.read_token_files(spark, again.path("f"), again).orderBy("start").collect()
+    n = len(model.encode(["one text"])[0]) // 4 + 1
+    assert [(r.doc_id, r.start) for r in rows] == [(3, k * n) for k in range(500)] + [(4, 500 * n + k) for k in range(40)]
+    spread = spark.read.format("binaryFile").load(again.path("f")).filter("length > 0").count()
+    assert spread > 2
     empty = Scratch(spark, "t-files")
     token_files.write_token_files(none, empty.path("f"))
     assert token_files.read_token_files(spark, empty.path("f"), empty).count() == 0
@@ -420,7 +432,7 @@ def test_decontamination(spark, docs, texts, none):
             if own and len(own & have) >= Fraction("0.8") * len(own):
                 want.add((None if k is None else k * 7, i))
     for block in (8 << 20, 300):
-        found = decontaminate.find_contaminated(docs, bench, block_bytes=block, parts=3)
+        found = decontaminate.find_contaminated(docs, bench, block_bytes=block, index_bytes=block >> 1, parts=3)
         assert {(r.doc_id, r.item_id) for r in found.collect()} == want
     assert (7 * 7, 1) in want and (7 * 7, 5) in want
     assert decontaminate.find_contaminated(none, bench).count() == 0
@@ -477,6 +489,65 @@ def test_codewords():
             assert apart == 1 << (k - 2)
 
 
+def test_decoding_against_plain_loops():
+    """Loss-weighted decoding, language by language and bit by bit; many languages; bits fitted in blocks."""
+    rng = np.random.default_rng(2)
+    for k in (2, 4, 9, 90):
+        code = language.codewords(k)
+        model = language.LanguageModel([f"l{j:02}" for j in range(k)], code, None, None, rng.uniform(0.05, 1, code.shape[1]), 0.2)
+        for _ in range(20):
+            margins = rng.normal(size=code.shape[1]) * 3
+            losses = [sum(model.trust[b] * math.log1p(math.exp(-code[j, b] * margins[b])) for b in range(code.shape[1])) for j in range(k)]
+            odds = sorted(math.exp(min(losses) - x) for x in losses)
+            name, score, ambiguous = language.decode(margins, model)
+            assert name == model.languages[losses.index(min(losses))] and score == pytest.approx(odds[-1] / sum(odds))
+            assert ambiguous == ((odds[-1] - odds[-2]) / sum(odds) < 0.2)
+    examples = [(np.sort(rng.choice(64, 9, replace=False)), rng.uniform(0, 1, 9).astype(np.float32)) for _ in range(300)]
+    y = rng.choice([-1.0, 1.0], size=(300, 3)).astype(np.float32)
+    whole = language.fit_bits(examples, y, 64, 5.0)
+    before, language.DENSE_ROWS = language.DENSE_ROWS, 17
+    try:
+        parts = language.fit_bits(examples, y, 64, 5.0)
+    finally:
+        language.DENSE_ROWS = before
+    assert all(np.allclose(a, b, atol=0.05) for a, b in zip(whole, parts, strict=True))
+
+
+def test_repeated_ids_stay_within_the_samples(spark):
+    """Many languages and rows that share an id: every language is learned, one row of each id is."""
+    rows = [(k % 40, f"{chr(97 + k % 20) * 4} {chr(98 + k % 20) * 3} " * 8 + str(k // 40), f"l{k % 20:02}") for k in range(800)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identify(docs, Scratch(spark, "t-many")).collect()
+    truth = {f"{t}": lang for _, t, lang in rows}
+    assert len(got) == 1600 and {r.lang_pred for r in got} == set(truth.values())
+    model = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(40)] * 3, "doc_id long, toxic int"), dims=1 << 12)
+    assert model.dims == 1 << 12 and math.isfinite(model.bias)
+    long = spark.createDataFrame([(1, "the whale with thorn " * 60000), (2, "kala talo " * 60000), (2, "kala"), (2, "kala")], "doc_id long, text string").withColumn("lang", F.when(F.col("doc_id") == 1, "bb").otherwise("aa"))
+    assert language.identify(long, Scratch(spark, "t-long")).count() == 4
+    assert toxicity.toxicity(long, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), Scratch(spark, "t-long")).count() == 4
+
+
+def test_ftrl_against_scalar_loops():
+    rng = random.Random(4)
+    fast, alpha, beta, l1, l2 = toxicity.FtrlProximal(50, 0.5, 1.0, 0.3, 0.1), 0.5, 1.0, 0.3, 0.1
+    z, n = [0.0] * 51, [0.0] * 51
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(300):
+        places, label = sorted(rng.sample(range(50), rng.randrange(1, 12))), rng.randrange(2)
+        fast.learn(np.array(places, dtype=np.int32), label)
+        own = [*places, 50]
+        before = {i: weight(i) for i in own}
+        g = 1 / (1 + math.exp(-sum(before.values()))) - label
+        for i in own:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - sigma * before[i]
+            n[i] += g * g
+    assert np.allclose(fast.weights(np.arange(51)), [weight(i) for i in range(51)])
+
+
 def test_language(spark, none):
     rng = random.Random(1)
     words = {"aa": ["kala", "talo", "yksi", "kaksi"], "bb": ["the", "with", "thorn", "whale"], "cc": ["żółw", "łąka", "świt", "jest"]}
