@@ -4,16 +4,19 @@ Two texts link if ``|A & B| / |A | B| >= num / den`` over their sets of shingles
 sets and shingles are told apart by 64 bits). No link is lost and none is added:
 
 1. Every distinct set gets a SimHash fingerprint. The pigeonhole search of :mod:`tessella.llm.simhash` probes for
-   fingerprints within ``distance`` bits, its links are verified on the whole sets, and components follow. That joins most
-   copies with small changes, however large their group, at a few rows a text.
+   fingerprints within ``distance`` bits.
 2. Fingerprints of sets at a similarity of 0.8 lie some 10 of 64 bits apart, with a spread that no planned pigeonhole
-   search can probe, so links between different components of step 1 are found exactly: the shingles of every set are put
-   in one common order, and sets that are similar enough share one of their first ``n - ceil(n * num / den) + 1`` (prefix
-   filter). The places of a shared one tell how many they can share at all (positional filter, which bounds
-   the sizes too), and bitmaps of the parity of shingles in bins tell how many only one of them must have. The order puts
-   shingles that a sample finds common last; the sample only shapes the order: every order finds every link.
-3. Candidates of different components are verified on the whole sets: first a spanning forest of those of each shingle,
-   at most a row less than its rows, then all that are still apart.
+   search can probe. So the shingles of every set are put in one common order; sets that are similar enough share one of
+   their first ``n - ceil(n * num / den) + 1`` (prefix filter), and most share one of the first ``few``. These few are met next.
+   The links of both searches are verified on the whole sets, and components follow; they join most copies, however large
+   their group.
+3. What is left are links between different components: whole prefixes are met, and only rows go on that may match one
+   of another component.
+
+The places of a shared shingle tell how many two sets can share at all (positional filter, which bounds the sizes too), and bitmaps
+of the parity of shingles in bins tell how many only one of them must have. The common order puts shingles that a sample
+finds common last; the sample only shapes the order: every order finds every link. Candidates are first a spanning
+forest of those of each shingle, at most a row less than its rows, then all that are still apart.
 
 Copies of a text are one set. Null text is empty text; empty sets are equal. Texts with fewer words than a shingle are
 one sequence. Ids must be unique and not null. Extra columns are not read.
@@ -139,15 +142,19 @@ def _sets(width: int):
     return run
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, comp, n, pos) of each shingle in the prefix of (node, comp, n, prefix)."""
-    for batch in batches:
-        node, comp, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        keys = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(3)]
-        counts = np.array([len(k) for k in keys], dtype=np.int64)
-        places = np.concatenate([np.array([], np.int32), *(np.arange(c, dtype=np.int32) for c in counts)])
-        columns = [np.concatenate([np.array([], np.int64), *keys]), np.repeat(node, counts), np.repeat(comp, counts), np.repeat(size, counts), places]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "comp", "n", "pos"])
+def _dealt(first: int | None):
+    """(key, node, comp, n, pos) of each shingle in the prefix, or its ``first`` ones, of (node, comp, n, prefix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, comp, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            keys = [np.frombuffer(x.as_buffer(), dtype=np.int64)[:first] for x in batch.column(3)]
+            counts = np.array([len(k) for k in keys], dtype=np.int64)
+            places = np.concatenate([np.array([], np.int32), *(np.arange(c, dtype=np.int32) for c in counts)])
+            columns = [np.concatenate([np.array([], np.int64), *keys]), np.repeat(node, counts), np.repeat(comp, counts), np.repeat(size, counts), places]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "comp", "n", "pos"])
+
+    return run
 
 
 def may_match(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -284,61 +291,78 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rank[order]
 
 
-def similar_texts(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 4, den: int = 5, distance: int = 3) -> DataFrame:
+def similar_texts(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 4, den: int = 5, distance: int = 3, few: int = 4) -> DataFrame:
     """(doc_id, node, component_id) of every document: its set and the least set it is linked to, over any chain."""
     with freed_shuffles(docs.sparkSession):
-        return _similar(docs, scratch, width, num, den, distance)
-
-
-def _similar(docs: DataFrame, scratch: Scratch, width: int, num: int, den: int, distance: int) -> DataFrame:
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    with text_batches(spark, 256):
-        order = spark.sparkContext.broadcast(_common(docs, width))
-        fields = "doc_id long, node long, n int, p0 long, bits binary, prefix binary"
-        told = scratch.save(docs.mapInArrow(_described(width, order, num, den), fields), "described")
-    sets = told.groupBy("node").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "p0", "bits", "prefix")])
-    sets = scratch.save(sets, "distinct-sets")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (u, v) that are similar enough, by whole sets; only texts of pairs are read as sets."""
+        return _Search(docs, scratch, width, num, den).run(distance, few)
+
+
+class _Search:
+    """The distinct sets of a table of documents and the steps that link them."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch, width: int, num: int, den: int):
+        self.spark, self.scratch, self.width, self.num, self.den = docs.sparkSession, scratch, width, num, den
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        with text_batches(self.spark, 256):
+            order = self.spark.sparkContext.broadcast(_common(self.docs, width))
+            fields = "doc_id long, node long, n int, p0 long, bits binary, prefix binary"
+            told = scratch.save(self.docs.mapInArrow(_described(width, order, num, den), fields), "described")
+        self.ids = scratch.save(told.select("doc_id", "node"), "ids")
+        sets = told.groupBy("node").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "p0", "bits", "prefix")])
+        self.sets = scratch.save(sets, "distinct-sets")
+        scratch.drop("described")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame | None:
+        """The pairs (u, v) that are similar enough, by whole sets; only texts of pairs are read as sets. None without pairs."""
+        scratch = self.scratch
         pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(sets.select("node", "id"), "node")
-        with text_batches(spark, 256):
-            texts = docs.join(wanted, F.col("doc_id") == F.col("id")).select("node", "text")
-            whole = scratch.save(texts.mapInArrow(_sets(width), "node long, shingles binary"), f"{name}-sets")
+        if not pairs.take(1):
+            return None
+        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(self.sets.select("node", "id"), "node")
+        with text_batches(self.spark, 256):
+            texts = self.docs.join(wanted, F.col("doc_id") == F.col("id")).select("node", "text")
+            whole = scratch.save(texts.mapInArrow(_sets(self.width), "node long, shingles binary"), f"{name}-sets")
             left = whole.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
             right = whole.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
             met = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-            links = scratch.save(met.mapInArrow(_verified(num, den), "u long, v long"), name)
+            links = scratch.save(met.mapInArrow(_verified(self.num, self.den), "u long, v long"), name)
         scratch.drop(f"{name}-pairs", f"{name}-sets")
         return links
 
-    def placed(rows: DataFrame, links: DataFrame, *columns: str) -> DataFrame:
+    def placed(self, rows: DataFrame, links: DataFrame | None, *columns: str) -> DataFrame:
         """The rows with the components of their sets."""
-        found = components(links, Scratch(spark, "near-components"))
+        if links is None:
+            return rows.select("node", F.col("node").alias("comp"), *columns)
+        found = components(links, Scratch(self.spark, "near-components"))
         return rows.join(found, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("comp"), *columns)
 
-    # 1. fingerprints
-    reps = scratch.save(sets.groupBy("p0").agg(F.min("node").alias("node")), "fingerprints")
-    with text_batches(spark, 10000):
-        near = near_links(reps, scratch, distance)
-    same = sets.join(reps.select(F.col("p0").alias("q"), F.col("node").alias("u")), F.col("p0") == F.col("q")).filter("node != u").select("u", F.col("node").alias("v"))
-    first = verified(near.union(same), "fingerprint-links")
-
-    # 2. prefixes
-    fields = "key long, node long, comp long, n int, pos int"
-    rows = placed(sets.drop("id"), first, "n", "prefix").select("node", "comp", "n", "prefix")
-    with text_batches(spark, 256):
-        rows = rows.mapInArrow(_dealt, fields).repartition("key").sortWithinPartitions("key", "n", "node")
-        shared = scratch.save(rows.mapInArrow(_shared(num, den), fields), "shared")
-
-    # 3. forests of candidates, then all that are still apart
-    rows = scratch.save(shared.join(sets.select(F.col("node").alias("of"), "bits"), F.col("node") == F.col("of")).drop("of"), "rows")
-    links = first
-    for forest in (True, False):
-        met = rows if forest else placed(rows.drop("comp"), links, "key", "n", "pos", "bits")
-        met = met.select("key", "node", "comp", "n", "pos", "bits").repartition("key").sortWithinPartitions("key", "n", "node")
+    def met(self, links: DataFrame | None, first: int | None, name: str) -> DataFrame:
+        """(key, node, comp, n, pos, bits) of the shingles of prefixes under which sets of different components may match."""
+        fields = "key long, node long, comp long, n int, pos int"
+        rows = self.placed(self.sets.select("node", "n", "prefix"), links, "n", "prefix")
+        with text_batches(self.spark, 256):
+            rows = rows.mapInArrow(_dealt(first), fields).repartition("key").sortWithinPartitions("key", "n", "node")
+            shared = self.scratch.save(rows.mapInArrow(_shared(self.num, self.den), fields), f"shared-{name}")
+        bits = self.sets.select(F.col("node").alias("of"), "bits")
+        return self.scratch.save(shared.join(bits, F.col("node") == F.col("of")).drop("of"), f"rows-{name}")
+
+    def pairs(self, rows: DataFrame, forest: bool) -> DataFrame:
+        rows = rows.select("key", "node", "comp", "n", "pos", "bits").repartition("key").sortWithinPartitions("key", "n", "node")
+        return rows.mapInArrow(_apart(self.num, self.den, forest), "u long, v long")
+
+    def run(self, distance: int, few: int) -> DataFrame:
+        spark, sets = self.spark, self.sets
+        reps = self.scratch.save(sets.groupBy("p0").agg(F.min("node").alias("node")), "fingerprints")
+        with text_batches(spark, 10000):
+            near = near_links(reps, self.scratch, distance)
+        same = sets.join(reps.select(F.col("p0").alias("q"), F.col("node").alias("u")), F.col("p0") == F.col("q")).filter("node != u").select("u", F.col("node").alias("v"))
+        near = near.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         with text_batches(spark, 1000):
-            links = links.union(verified(met.mapInArrow(_apart(num, den, forest), "u long, v long"), f"prefix-links-{forest}"))
-    return placed(told.select("doc_id", "node"), links, "doc_id").select("doc_id", "node", F.col("comp").alias("component_id"))
+            links = self.verified(near.union(self.pairs(self.met(None, few, "few"), True)), "first-links")
+            rows = self.met(links, None, "all")
+            more = self.verified(self.pairs(rows, True), "forest-links")
+            if more is not None:  # else no candidate is left
+                links = more if links is None else links.union(more)
+                rest = self.verified(self.pairs(self.placed(rows.drop("comp"), links, "key", "n", "pos", "bits"), False), "other-links")
+                links = links if rest is None else links.union(rest)
+        return self.placed(self.ids, links, "doc_id").select("doc_id", "node", F.col("comp").alias("component_id"))

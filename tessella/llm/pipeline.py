@@ -53,10 +53,9 @@ def _unpacked(rows: DataFrame, columns: list[str], text=None, keep: str | None =
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality_report(_packed(docs).select("row", "text"))
-    # written before the filter: the optimizer would else push the whole judgement below it and run it twice
     rows = _unpacked(judged, docs.columns, F.col("_q.clean_text"), keep="_q.kept")
-    written = Scratch(spark, "pipeline-quality").save(rows, "judged")
-    return written.filter("kept").select("row.*")
+    # rows that stay are generated: a filter would be pushed below the judgement, which would then run twice
+    return rows.select(F.inline(F.when(F.col("kept"), F.array("row"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
