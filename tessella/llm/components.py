@@ -1,6 +1,6 @@
 """Connected components of a link table by alternating large and small stars.
 
-Every step is a DataFrame join; nothing is gathered on the driver but one count a round. Each round is
+Every step is a DataFrame join; nothing is gathered on the driver but whether a round left a forest of stars. Each round is
 a written table, so lost executors cost one round at most. The minimum of a vertex's neighbours is
 combined before its shuffle; it is joined from a written table, so a vertex that many links share can be
 split. The number of rounds grows with the logarithm of the longest chain, squared at worst.
@@ -30,7 +30,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     current = links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     current = scratch.save(current, "links-0")
-    before, step = None, 0
+    step = 0
     while True:
         step += 1
         large = _star(current, scratch, f"least-{step}a").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -39,10 +39,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.filter("u != v").union(least.select("k", "m")).distinct()
         small = scratch.save(small, f"links-{step}")
-        state = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"links-{step - 1}", f"least-{step}a", f"large-{step}", f"least-{step}b")
-        if state == before:
+        # done if every vertex is a centre or has one link, to a centre
+        ends = small.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(small.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        if not ends.filter("out > 1 or (out = 1 and into = 1)").take(1):
             return small.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
                 small.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
-        before, current = state, small
+        current = small
