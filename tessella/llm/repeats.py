@@ -11,7 +11,8 @@ passages, whatever white space is between the words). Equal windows must meet wi
 3. Segments that are equal in whole become one, with their number; where an anchor has just that one, its
    windows are repeated. Segments of other anchors are sorted by anchor, and suffix arrays with common prefixes are
    induced (:mod:`tessella.llm.suffix_sort`) over as many whole anchors as ``batch_bytes`` hold. A window is
-   repeated if a neighbour shares it or its segment occurs more than once.
+   repeated if a neighbour shares it or its segment occurs more than once. Before, ends of a segment that share no core (see
+   below) with another segment of their anchor are cut off, as no window in them can be repeated.
 4. Repeated windows go back to the texts, are united to spans, and the spans are cut out.
 
 Hot anchors, with over ``split_segments`` distinct segments (a line that many texts share), never meet in one task:
@@ -36,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +53,8 @@ from tessella.llm.suffix_sort import repeated_starts
 PIECE = 1 << 20
 _PLACE_BITS = 21  # PIECE + windows of one more window fit
 _SPACE = 32
+#: Columns of hashes have no dictionary worth trying.
+_HASHES = {"parquet.enable.dictionary": "false"}
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:
@@ -67,9 +71,9 @@ class Bytes:
     gram: int = 64
     widths: tuple[int, ...] = (64, 8, 1)
 
-    def view(self, content: bytes) -> tuple[bytes, np.ndarray]:
+    def view(self, content: bytes) -> tuple[bytes, range]:
         """What is compared, and the place of each token in it and of the end."""
-        return content, np.arange(len(content) + 1)
+        return content, range(len(content) + 1)
 
     def grams(self, view: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The hash of the gram that begins with each token but the last, by doubling from 8 bytes."""
@@ -151,8 +155,9 @@ def _owners(hashes: np.ndarray, reach: int) -> np.ndarray:
     return (least & place).astype(np.int64)
 
 
-def anchored(contents: list[bytes], unit) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """(text, anchor hash, first window, windows, anchor's token from the first, bytes) of each segment of the texts.
+def anchored(contents: list[bytes], unit) -> Iterator[tuple[np.ndarray, bytes]]:
+    """Columns (text, anchor hash, first window, windows, anchor's token from the first, start, end) of the segments of the texts, and
+    the bytes that starts and ends refer to.
 
     Short texts are hashed together; windows never reach over a text's end.
     """
@@ -171,17 +176,18 @@ def anchored(contents: list[bytes], unit) -> Iterator[tuple[int, int, int, int,
         yield from _anchored(held, unit)
 
 
-def _anchored(held: list[tuple[int, bytes, np.ndarray]], unit) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+def _anchored(held: list, unit) -> Iterator[tuple[np.ndarray, bytes]]:
     """Segments of texts of at most PIECE tokens together, or of a single longer one."""
     joined = held[0][1] if len(held) == 1 else b"".join(v for _, v, _ in held)
     tokens = np.cumsum([0, *(len(p) for _, _, p in held)])  # a text's end counts as a token of it
     offsets = np.cumsum([0, *(len(v) for _, v, _ in held)])
-    if len(held) > 1 and isinstance(unit, Bytes):  # the next text's first byte stands where this one ends
+    if isinstance(unit, Bytes):  # the next text's first byte stands where this one ends
         tokens = tokens - np.arange(len(tokens))
         places = np.arange(len(joined) + 1)
     else:
-        places = held[0][2] if len(held) == 1 else np.concatenate([p + o for (_, _, p), o in zip(held, offsets, strict=False)])
+        places = np.concatenate([p + o for (_, _, p), o in zip(held, offsets, strict=False)])
     counts = np.array([len(p) - unit.size for _, _, p in held])
+    numbers = np.array([k for k, _, _ in held])
     data, reach = np.frombuffer(joined, np.uint8), unit.size - unit.gram + 1
     for start in range(0, int(tokens[len(held) - 1] + counts[-1]), PIECE):
         upto = min(start + PIECE + unit.size, len(places))
@@ -193,15 +199,12 @@ def _anchored(held: list[tuple[int, bytes, np.ndarray]], unit) -> Iterator[tuple
         if not len(windows):
             continue
         owner = at[windows - start]
-        text = np.searchsorted(tokens, windows, side="right") - 1
+        text = np.searchsorted(tokens[: len(held)], windows, side="right") - 1
         heads = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])])
         size = np.diff(np.append(heads, len(windows)))
-        first = windows[heads]
-        begins, ends = places[first], unit.past(places, first + size - 1)
-        rows = zip(text[heads].tolist(), hashes[owner[heads]].view(np.int64).tolist(), (first - tokens[text[heads]]).tolist(), size.tolist(),
-                   (owner[heads] + start - first).tolist(), begins.tolist(), ends.tolist(), strict=True)
-        for k, anchor, window, n, spot, a, b in rows:
-            yield held[k][0], anchor, window, n, spot, joined[a:b]
+        first, text = windows[heads], text[heads]
+        columns = (numbers[text], hashes[owner[heads]].view(np.int64), first - tokens[text], size, owner[heads] + start - first, places[first], unit.past(places, first + size - 1))
+        yield np.stack(columns), joined
 
 
 def _batches(rows: list, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -210,56 +213,70 @@ def _batches(rows: list, names: list[str], kinds: list[pa.DataType]) -> pa.Recor
 
 
 def _segments(unit):
-    """(tid, tid2, anchor, seg, start, windows) of each segment of each text."""
+    """(tid, tid2, anchor, seg, start, windows, spot) of each segment of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashed, long = xxhash.xxh3_64_intdigest, 1 << 63
-        names, kinds = ["tid", "tid2", "anchor", "seg", "start", "windows"], [pa.int64()] * 4 + [pa.int32()] * 2
+        hashed = xxhash.xxh3_64_intdigest
+        names = ["tid", "tid2", "anchor", "seg", "start", "windows", "spot"]
         for batch in batches:
-            tid, tid2, contents = (c.to_pylist() for c in batch.columns)
-            rows = []
-            for k, anchor, start, windows, _, part in anchored(contents, unit):
-                seg = hashed(part)
-                rows.append((tid[k], tid2[k], anchor, seg - 2 * long if seg >= long else seg, start, windows))
-            yield _batches(rows, names, kinds)
+            tid, tid2 = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            for (text, anchor, start, windows, spot, begin, end), joined in anchored(batch.column(2).to_pylist(), unit):
+                segs = np.fromiter((hashed(joined[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(text))
+                columns = [tid[text], tid2[text], anchor, segs.view(np.int64), *(x.astype(np.int32) for x in (start, windows, spot))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run
 
 
-SEGMENT = "tid long, tid2 long, anchor long, seg long, start int, windows int"
-GROUP = "key long, anchor long, seg long, copies long, content binary"
+SEGMENT = "tid long, tid2 long, anchor long, seg long, start int, windows int, spot int"
+GROUP = "key long, anchor long, seg long, copies long, spot int, content binary"
 PIECES = "anchor long, seg long, first int, copies long, key long, piece long, spot int, windows int, content binary"
 
 
 def _cut(unit):
-    """(key, anchor, seg, copies, bytes) of the wanted segments of each text."""
+    """(key, anchor, seg, copies, spot, bytes) of the wanted segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["key", "anchor", "seg", "copies", "content"], [pa.int64()] * 4 + [pa.binary()]
+        names, kinds = ["key", "anchor", "seg", "copies", "spot", "content"], [pa.int64()] * 4 + [pa.int32(), pa.binary()]
         for batch in batches:
             rows = []
             for content, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 view, places = unit.view(content)
                 for s in wanted:
                     part = view[places[s["start"]] : unit.past(places, s["start"] + s["windows"] - 1)]
-                    rows.append((s["anchor"], s["anchor"], s["seg"], s["copies"], part))
+                    rows.append((s["anchor"], s["anchor"], s["seg"], s["copies"], s["spot"], part))
             yield _batches(rows, names, kinds)
 
     return run
 
 
-def pieces(segment: bytes, spot: int, width: int, unit) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-    """(first window, windows, core's number, core, bytes) of the pieces of a segment whose anchor is token ``spot``."""
-    view, places = segment, unit.view(segment)[1] if isinstance(unit, Bytes) else np.flatnonzero(np.frombuffer(segment, np.uint8) == _SPACE)
-    windows = len(places) - unit.size
-    most = unit.size - unit.gram  # tokens between a window's start and its anchor at most
+def pieces(segment: bytes, spot: int, width: int, unit) -> Iterator[tuple[int, int, int, bytes, range | np.ndarray]]:
+    """(first window, windows, core's number, core, the segment's places) of the pieces of a segment whose anchor is token ``spot``."""
+    places = range(len(segment) + 1) if isinstance(unit, Bytes) else np.flatnonzero(np.frombuffer(segment, np.uint8) == _SPACE)
+    windows, size, most = len(places) - unit.size, unit.size, unit.size - unit.gram  # an anchor is at most so far from a window's start
     for number in range((spot - windows + 1) // width, spot // width + 1):
         low, high = number * width, min(number * width + width - 1, most)
         first, last = max(0, spot - high), min(windows - 1, spot - low)
-        core = view[places[spot - low] : places[spot - high + unit.size]]
-        yield first, last - first + 1, number, core, view[places[first] : unit.past(places, last)]
+        yield first, last - first + 1, number, segment[places[spot - low] : places[spot - high + size]], places
+
+
+def trimmed(rows: list[tuple[int, int, int, bytes]], unit) -> list[tuple[int, int, int, bytes]]:
+    """What may hold repeated windows of one anchor's (anchor, seg, spot, bytes): from the first to the last piece whose core
+    another segment has, as (anchor, seg, first window, bytes)."""
+    seen, own = Counter(), []
+    for _, _, spot, content in rows:
+        found = list(pieces(content, spot, unit.widths[0], unit))
+        own.append(found)
+        seen.update((number, core) for _, _, number, core, _ in found)
+    out = []
+    for (anchor, seg, _, content), found in zip(rows, own, strict=True):
+        shared = [p for p in found if seen[p[2], p[3]] > 1]
+        if shared:
+            first, past = min(p[0] for p in shared), max(p[0] + p[1] for p in shared)
+            out.append((anchor, seg, first, content[shared[0][4][first] : unit.past(shared[0][4], past - 1)]))
+    return out
 
 
 def _hot(unit, level: int, whole: bool):
@@ -275,10 +292,7 @@ def _hot(unit, level: int, whole: bool):
             view, places = unit.view(content)
             for s in wanted:
                 part = view[places[s["start"]] : unit.past(places, s["start"] + s["windows"] - 1)]
-                # the segment's own tokens find the same anchor
-                inside = places[s["start"] : s["start"] + s["windows"] + unit.size] - places[s["start"]]
-                owner = _owners(unit.grams(np.frombuffer(part, np.uint8), inside), unit.size - unit.gram + 1)
-                yield s["anchor"], s["seg"], s["copies"], int(owner[0]), part
+                yield s["anchor"], s["seg"], s["copies"], s["spot"], part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -287,7 +301,8 @@ def _hot(unit, level: int, whole: bool):
         for batch in batches:
             rows = []
             for anchor, seg, copies, spot, content in segments(batch):
-                for first, windows, number, core, part in pieces(content, spot, unit.widths[level], unit):
+                for first, windows, number, core, places in pieces(content, spot, unit.widths[level], unit):
+                    part = content[places[first] : unit.past(places, first + windows - 1)]
                     key = xxhash.xxh3_64_intdigest(core, (anchor + number) & (1 << 63) - 1)
                     rows.append((anchor, seg, first, copies, signed(key), signed(xxhash.xxh3_64_intdigest(part)), spot - first, windows, part))
             yield _batches(rows, names, kinds)
@@ -296,7 +311,7 @@ def _hot(unit, level: int, whole: bool):
 
 
 def repeated_ranges(segments: list[tuple[int, int, int, bytes]], unit) -> list[tuple[int, int, int, int]]:
-    """(anchor, seg, first, past) ranges of repeated windows among whole anchors' (anchor, seg, copies, bytes)."""
+    """(anchor, seg, first, past) ranges of repeated windows among whole anchors' (anchor, seg, first window, bytes)."""
     if not segments:
         return []
     lengths = np.array([len(s[3]) for s in segments], dtype=np.int64)
@@ -314,12 +329,9 @@ def repeated_ranges(segments: list[tuple[int, int, int, bytes]], unit) -> list[t
         windows.append(at + places)
     marked = repeated_starts(text, need)
     out = []
-    for places, (anchor, seg, copies, _) in zip(windows, segments, strict=True):
-        if copies > 1:
-            out.append((anchor, seg, 0, len(places)))
-            continue
+    for places, (anchor, seg, first, _) in zip(windows, segments, strict=True):
         edges = np.flatnonzero(np.diff(np.concatenate([[False], marked[places], [False]]).astype(np.int8)))
-        out += [(anchor, seg, int(a), int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        out += [(anchor, seg, first + int(a), first + int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     return out
 
 
@@ -328,16 +340,20 @@ def _sort_groups(unit, batch_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["anchor", "seg", "first", "past"], [pa.int64()] * 2 + [pa.int32()] * 2
-        rows, size, last = [], 0, None
+        rows, group, whole, size, last = [], [], [], 0, None
         for batch in batches:
-            for key, anchor, seg, copies, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last and size >= batch_bytes:
-                    yield _batches(repeated_ranges(rows, unit), names, kinds)
-                    rows, size = [], 0
-                rows.append((anchor, seg, copies, content))
-                size += len(content)
-                last = key
-        yield _batches(repeated_ranges(rows, unit), names, kinds)
+            for key, anchor, seg, copies, spot, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    rows += (more := trimmed(group, unit))
+                    size += sum(len(r[3]) for r in more)
+                    group, last = [], key
+                    if size >= batch_bytes:
+                        yield _batches(repeated_ranges(rows, unit) + whole, names, kinds)
+                        rows, whole, size = [], [], 0
+                group.append((anchor, seg, spot, content))
+                if copies > 1:
+                    whole.append((anchor, seg, 0, len(unit.starts(content)[0])))
+        yield _batches(repeated_ranges(rows + trimmed(group, unit), unit) + whole, names, kinds)
 
     return run
 
@@ -451,7 +467,7 @@ class _Search:
         several = distinct.filter((F.col("kinds") > 1) & ~split)
         load = several.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
         if load:
-            groups = several.select("key", F.col("key").alias("anchor"), F.col("piece").alias("seg"), F.lit(1).cast("long").alias("copies"), "content")
+            groups = several.select("key", F.col("key").alias("anchor"), F.col("piece").alias("seg"), F.lit(1).cast("long").alias("copies"), "spot", "content")
             marks = marks.union(self._sorted(groups, load))
         if not last:
             deeper = distinct.filter(split).select("key", "piece", "copies", "spot", "content")
@@ -465,12 +481,12 @@ class _Search:
         """(tid, tid2, r) of every range of repeated windows: struct(a, b), the first and the one past the last."""
         spark, scratch, unit = self.texts.spark, self.scratch, self.unit
         with text_batches(spark):
-            segments = scratch.save(self.texts.read().select("tid", "tid2", "content").mapInArrow(_segments(unit), SEGMENT), "segments")
+            segments = scratch.save(self.texts.read().select("tid", "tid2", "content").mapInArrow(_segments(unit), SEGMENT), "segments", **_HASHES)
         twice = scratch.save(segments.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("k")), "twice")
-        shared = scratch.save(segments.join(twice, F.col("anchor") == F.col("k")).drop("k"), "shared")
+        shared = scratch.save(segments.join(twice, F.col("anchor") == F.col("k")).drop("k"), "shared", **_HASHES)
         scratch.drop("segments", "twice")
-        distinct = shared.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("tid", "tid2", "start", "windows")).alias("at"))
-        distinct = scratch.save(distinct, "distinct")
+        distinct = shared.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("tid", "tid2", "start", "windows", "spot")).alias("at"))
+        distinct = scratch.save(distinct, "distinct", **_HASHES)
         sizes = scratch.save(distinct.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("at.windows").cast("long")).alias("w")).filter("kinds > 1"), "sizes")
         joined = distinct.join(sizes, F.col("anchor") == F.col("k"), "left")
         marks = joined.filter("kinds is null and copies > 1").select("anchor", "seg", F.lit(0).alias("first"), F.col("at.windows").alias("past"))
@@ -479,7 +495,7 @@ class _Search:
         load, hottest = sizes.agg(F.sum(F.when(~hot, F.col("w") + F.col("kinds") * unit.size)), F.max("kinds")).first()
         with text_batches(spark):
             several = joined.filter("kinds is not null").select(F.col("at.tid").alias("tid"), F.col("at.tid2").alias("tid2"), hot.alias("hot"),
-                F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), "anchor", "seg", "copies").alias("s"))
+                F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), F.col("at.spot").alias("spot"), "anchor", "seg", "copies").alias("s"))
             if load:
                 cut = self.texts.with_lists(several.filter("not hot"), "wanted", "s").select("content", "wanted")
                 marks = marks.union(self._sorted(cut.mapInArrow(_cut(unit), GROUP), int(load) * token))

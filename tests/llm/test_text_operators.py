@@ -302,14 +302,21 @@ def test_repeated_spans_in_pieces(spark, none, monkeypatch, unit):
     seen = collections.Counter(window(k, i) for k in range(len(bodies)) for i in range(count[k]))
     for piece in (1 << 20, 700):
         monkeypatch.setattr(repeats, "PIECE", piece)
-        cuts = list(repeats.anchored(bodies, unit))
+        cuts = [(*c[:5], joined[c[5] : c[6]]) for columns, joined in repeats.anchored(bodies, unit) for c in columns.T.tolist()]
         assert sorted((k, i) for k, _, a, n, _, _ in cuts for i in range(a, a + n)) == [(k, i) for k in range(len(bodies)) for i in range(count[k])]
-        marks = collections.defaultdict(list)
-        for _, seg, first, past in repeats.repeated_ranges([(c[1], j, 1, c[5]) for j, c in enumerate(cuts)], unit):
-            marks[seg].append((first, past))
-        for j, (k, _, a, n, spot, part) in enumerate(cuts):
-            found = {x for p, q in marks[j] for x in range(p, q)}
-            assert found == {x for x in range(n) if seen[window(k, a + x)] > 1}
+        groups, marks = collections.defaultdict(list), collections.defaultdict(list)
+        for j, c in enumerate(cuts):
+            groups[c[1]].append((c[1], j, c[4], c[5]))
+        for rows in (
+            [(c[1], j, 0, c[5]) for j, c in enumerate(cuts)],
+            [r for g in groups.values() for r in repeats.trimmed(g, unit)],
+        ):
+            marks.clear()
+            for _, seg, first, past in repeats.repeated_ranges(rows, unit):
+                marks[seg].append((first, past))
+            for j, (k, _, a, n, _, _) in enumerate(cuts):
+                assert {x for p, q in marks[j] for x in range(p, q)} == {x for x in range(n) if seen[window(k, a + x)] > 1}
+        for k, _, a, n, spot, part in cuts:
             for width in unit.widths:
                 parts = list(repeats.pieces(part, spot, width, unit))
                 assert sorted(x for first, m, *_ in parts for x in range(first, first + m)) == list(range(n))
