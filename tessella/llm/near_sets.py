@@ -6,17 +6,16 @@ sets and shingles are told apart by 64 bits). No link is lost and none is added:
 1. Every distinct set gets a SimHash fingerprint. The pigeonhole search of :mod:`tessella.llm.simhash` probes for
    fingerprints within ``distance`` bits.
 2. Fingerprints of sets at a similarity of 0.8 lie some 10 of 64 bits apart, with a spread that no planned pigeonhole
-   search can probe. So the shingles of every set are put in one common order; sets that are similar enough share one of
-   their first ``n - ceil(n * num / den) + 1`` (prefix filter), and most share one of the first ``few``. These few are met next.
-   The links of both searches are verified on the whole sets, and components follow; they join most copies, however large
-   their group.
-3. What is left are links between different components: whole prefixes are met, and only rows go on that may match one
-   of another component.
-
-The places of a shared shingle tell how many two sets can share at all (positional filter, which bounds the sizes too), and bitmaps
-of the parity of shingles in bins tell how many only one of them must have. The common order puts shingles that a sample
-finds common last; the sample only shapes the order: every order finds every link. Candidates are first a spanning
-forest of those of each shingle, at most a row less than its rows, then all that are still apart.
+   search can probe. So sets also meet by the least hash of each of 8 ranges (one-permutation MinHash). The links of both
+   searches are verified on the whole sets, and components follow; they join most copies, however large their group.
+3. What is left are links between different components, and they are found exactly: the shingles of every set are put in one
+   common order; sets that are similar enough share one of their first ``n - ceil(n * num / den) + 1`` (prefix filter), and the
+   places of a shared one tell how many they can share at all (positional filter, which bounds the sizes too). The order
+   puts shingles that a sample finds common last; the sample only shapes the order: every order finds every link.
+
+Candidates under a key of few rows are pairs at once. Rows of larger keys get bitmaps of the parity of shingles in bins, which
+tell how many only one of two sets must have; a key's candidates are first a spanning forest, at most a row less than its
+rows, then all that are still apart. Pairs are held against the bitmaps, too, before they are verified.
 
 Copies of a text are one set. Null text is empty text; empty sets are equal. Texts with fewer words than a shingle are
 one sequence. Ids must be unique and not null. Extra columns are not read.
@@ -39,11 +38,13 @@ from tessella.llm.simhash import Trees, fingerprint, near_links
 #: One of so many texts is read for common shingles (all of small tables); so many of them are put last.
 SAMPLE, COMMON = 16, 1 << 18
 #: Bins of a bitmap at least and at most, powers of two.
-LEAST_BINS, MOST_BINS = 64, 1 << 14
+LEAST_BINS, MOST_BINS = 64, 1 << 16
+#: Ranges of hashes, as a power of two, whose least ones are met first.
+RANGE_BITS = 3
 #: Rows of a bucket that are compared with it at once.
 BLOCK = 512
-#: Rows of a key up to which keys are compared many at once.
-SMALL = 32
+#: Rows of a key up to which its candidates are pairs at once.
+SMALL = 8
 
 
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
@@ -76,8 +77,8 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """For each bin the parity of how many shingles fall into it; two bins or more a shingle, up to MOST_BINS."""
-    size = min(MOST_BINS, max(LEAST_BINS, 1 << (2 * len(own)).bit_length()))
+    """For each bin the parity of how many shingles fall into it; four bins or more a shingle, up to MOST_BINS."""
+    size = min(MOST_BINS, max(LEAST_BINS, 1 << (4 * len(own)).bit_length()))
     odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -107,8 +108,14 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, num: int, den:
     return own[:count]
 
 
+def range_minima(own: np.ndarray) -> np.ndarray:
+    """The least hash of each range that holds one."""
+    bounds = np.searchsorted(own, np.arange(1 << RANGE_BITS, dtype=np.uint64) << np.uint64(64 - RANGE_BITS))
+    return own[bounds[bounds < np.append(bounds[1:], len(own))]]
+
+
 def _described(width: int, shared_order, num: int, den: int):
-    """(doc_id, node, n, p0, bits, prefix) of each text."""
+    """(doc_id, node, n, p0, bits, minima, prefix) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = shared_order.value
@@ -117,9 +124,10 @@ def _described(width: int, shared_order, num: int, den: int):
             columns = [
                 batch.column(0), pa.array([_set_id(own) for own in sets], pa.int64()), pa.array([len(own) for own in sets], pa.int32()),
                 pa.array(np.array([fingerprint(own) for own in sets], dtype=np.uint64).view(np.int64)),
-                pa.array([bitmap(own) for own in sets], pa.binary()), pa.array([prefix(own, common, rank, num, den).tobytes() for own in sets], pa.binary()),
+                pa.array([bitmap(own) for own in sets], pa.binary()), pa.array([range_minima(own).tobytes() for own in sets], pa.binary()),
+                pa.array([prefix(own, common, rank, num, den).tobytes() for own in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "p0", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "p0", "bits", "minima", "prefix"])
 
     return run
 
@@ -142,15 +150,15 @@ def _sets(width: int):
     return run
 
 
-def _dealt(first: int | None):
-    """(key, node, comp, n, pos) of each shingle in the prefix, or its ``first`` ones, of (node, comp, n, prefix)."""
+def _dealt(ordered: bool):
+    """(key, node, comp, n, pos) of each hash of (node, comp, n, hashes); places count where hashes are in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, comp, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            keys = [np.frombuffer(x.as_buffer(), dtype=np.int64)[:first] for x in batch.column(3)]
+            keys = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(3)]
             counts = np.array([len(k) for k in keys], dtype=np.int64)
-            places = np.concatenate([np.array([], np.int32), *(np.arange(c, dtype=np.int32) for c in counts)])
+            places = np.concatenate([np.array([], np.int32), *(np.arange(c, dtype=np.int32) * ordered for c in counts)]).astype(np.int32)
             columns = [np.concatenate([np.array([], np.int64), *keys]), np.repeat(node, counts), np.repeat(comp, counts), np.repeat(size, counts), places]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "comp", "n", "pos"])
 
@@ -209,8 +217,9 @@ def _near(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, num: int, den: int)
             yield i, j, np.triu(near, 1) if i == j else near
 
 
-def _shared(num: int, den: int):
-    """Rows that may match a row of their key and of another component."""
+def _shared(num: int, den: int, most: int):
+    """Candidates of different components under small keys as pairs (their nodes as key and node, ``pos`` of -1), each row with
+    the ``most`` rows after it; of larger keys the rows that may match a row of another component."""
 
     def make(rows):
         keep = np.zeros(len(rows["key"]), dtype=bool)
@@ -220,24 +229,42 @@ def _shared(num: int, den: int):
         np.add.at(small, starts[sizes <= SMALL], 1)
         np.add.at(small, ends[sizes <= SMALL], -1)
         own = np.flatnonzero(np.cumsum(small[:-1]))
-        key, n, pos, comp = rows["key"][own], rows["n"][own].astype(np.int64), rows["pos"][own].astype(np.int64), rows["comp"][own]
-        for by in range(1, SMALL):
+        key, node, n, pos, comp = (rows[k][own].astype(np.int64) for k in ("key", "node", "n", "pos", "comp"))
+        us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for by in range(1, min(SMALL, most + 1)):
             met = np.flatnonzero(key[by:] == key[:-by])
             if not len(met):
                 break
             far = met + by
             near = (comp[met] != comp[far]) & may_match(n[met], pos[met], n[far], pos[far], num, den)
-            keep[own[met[near]]] = keep[own[far[near]]] = True
+            us.append(np.minimum(node[met[near]], node[far[near]]))
+            vs.append(np.maximum(node[met[near]], node[far[near]]))
         for a, b in zip(starts[sizes > SMALL], ends[sizes > SMALL], strict=True):
             n, pos, comp = rows["n"][a:b].astype(np.int64), rows["pos"][a:b].astype(np.int64), rows["comp"][a:b]
             for i, j, near in _near(n, pos, comp, num, den):
                 keep[a + i : a + i + near.shape[0]] |= near.any(axis=1)
                 keep[a + j : a + j + near.shape[1]] |= near.any(axis=0)
         yield [rows[k][keep] for k in ("key", "node", "comp", "n", "pos")]
+        us, vs = np.concatenate(us), np.concatenate(vs)
+        yield [us, vs, np.zeros(len(us), np.int64), np.zeros(len(us), np.int32), np.full(len(us), -1, np.int32)]
 
     return _buckets(make, ["key", "node", "comp", "n", "pos"], [pa.int64()] * 3 + [pa.int32()] * 2)
 
 
+def _bounded(num: int, den: int):
+    """The pairs (u, v, n, bits, m, others) whose bitmaps let them be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, bits, m, others in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                a, b = stacked([bits, others])
+                keep.append(bool(may_differ(a, b, n, m, num, den)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _apart(num: int, den: int, forest: bool):
     """Pairs of a key that may match and lie in different components; with ``forest`` those that join further components."""
 
@@ -291,10 +318,10 @@ def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rank[order]
 
 
-def similar_texts(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 4, den: int = 5, distance: int = 3, few: int = 4) -> DataFrame:
+def similar_texts(docs: DataFrame, scratch: Scratch, width: int = 5, num: int = 4, den: int = 5, distance: int = 3) -> DataFrame:
     """(doc_id, node, component_id) of every document: its set and the least set it is linked to, over any chain."""
     with freed_shuffles(docs.sparkSession):
-        return _Search(docs, scratch, width, num, den).run(distance, few)
+        return _Search(docs, scratch, width, num, den).run(distance)
 
 
 class _Search:
@@ -305,10 +332,10 @@ class _Search:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         with text_batches(self.spark, 256):
             order = self.spark.sparkContext.broadcast(_common(self.docs, width))
-            fields = "doc_id long, node long, n int, p0 long, bits binary, prefix binary"
+            fields = "doc_id long, node long, n int, p0 long, bits binary, minima binary, prefix binary"
             told = scratch.save(self.docs.mapInArrow(_described(width, order, num, den), fields), "described")
         self.ids = scratch.save(told.select("doc_id", "node"), "ids")
-        sets = told.groupBy("node").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "p0", "bits", "prefix")])
+        sets = told.groupBy("node").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "p0", "bits", "minima", "prefix")])
         self.sets = scratch.save(sets, "distinct-sets")
         scratch.drop("described")
 
@@ -336,33 +363,45 @@ class _Search:
         found = components(links, Scratch(self.spark, "near-components"))
         return rows.join(found, F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("comp"), *columns)
 
-    def met(self, links: DataFrame | None, first: int | None, name: str) -> DataFrame:
-        """(key, node, comp, n, pos, bits) of the shingles of prefixes under which sets of different components may match."""
+    def met(self, links: DataFrame | None, hashes: str, most: int) -> tuple[DataFrame, DataFrame]:
+        """Sets of different components that may match under one of their hashes: pairs (u, v) of small keys, and rows
+        (key, node, comp, n, pos, bits) of larger ones."""
         fields = "key long, node long, comp long, n int, pos int"
-        rows = self.placed(self.sets.select("node", "n", "prefix"), links, "n", "prefix")
+        rows = self.placed(self.sets.select("node", "n", hashes), links, "n", hashes)
         with text_batches(self.spark, 256):
-            rows = rows.mapInArrow(_dealt(first), fields).repartition("key").sortWithinPartitions("key", "n", "node")
-            shared = self.scratch.save(rows.mapInArrow(_shared(self.num, self.den), fields), f"shared-{name}")
-        bits = self.sets.select(F.col("node").alias("of"), "bits")
-        return self.scratch.save(shared.join(bits, F.col("node") == F.col("of")).drop("of"), f"rows-{name}")
-
-    def pairs(self, rows: DataFrame, forest: bool) -> DataFrame:
+            rows = rows.mapInArrow(_dealt(hashes == "prefix"), fields).repartition("key").sortWithinPartitions("key", "n", "node")
+        with text_batches(self.spark, 10000):
+            found = self.scratch.save(rows.mapInArrow(_shared(self.num, self.den, most), fields), f"met-{hashes}")
+        told = lambda name, **more: self.sets.select(F.col("node").alias(name), *[F.col(k).alias(v) for k, v in more.items()])
+        pairs = found.filter("pos < 0").select(F.col("key").alias("u"), F.col("node").alias("v")).distinct()
+        pairs = pairs.join(told("u", n="n", bits="bits"), "u").join(told("v", n="m", bits="others"), "v").select("u", "v", "n", "bits", "m", "others")
+        rows = found.filter("pos >= 0").join(told("of", bits="bits"), F.col("node") == F.col("of")).drop("of")
+        with text_batches(self.spark, 1000):
+            pairs = self.scratch.save(pairs.mapInArrow(_bounded(self.num, self.den), "u long, v long"), f"pairs-{hashes}")
+            rows = self.scratch.save(rows, f"rows-{hashes}")
+        self.scratch.drop(f"met-{hashes}")
+        return pairs, rows
+
+    def apart(self, rows: DataFrame, forest: bool) -> DataFrame:
         rows = rows.select("key", "node", "comp", "n", "pos", "bits").repartition("key").sortWithinPartitions("key", "n", "node")
         return rows.mapInArrow(_apart(self.num, self.den, forest), "u long, v long")
 
-    def run(self, distance: int, few: int) -> DataFrame:
+    def run(self, distance: int) -> DataFrame:
         spark, sets = self.spark, self.sets
         reps = self.scratch.save(sets.groupBy("p0").agg(F.min("node").alias("node")), "fingerprints")
         with text_batches(spark, 10000):
             near = near_links(reps, self.scratch, distance)
         same = sets.join(reps.select(F.col("p0").alias("q"), F.col("node").alias("u")), F.col("p0") == F.col("q")).filter("node != u").select("u", F.col("node").alias("v"))
         near = near.union(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        pairs, rows = self.met(None, "minima", 2)
+        with text_batches(spark, 1000):
+            links = self.verified(near.union(pairs).union(self.apart(rows, True)), "first-links")
+        self.scratch.drop("pairs-minima", "rows-minima")
+        pairs, rows = self.met(links, "prefix", SMALL)
         with text_batches(spark, 1000):
-            links = self.verified(near.union(self.pairs(self.met(None, few, "few"), True)), "first-links")
-            rows = self.met(links, None, "all")
-            more = self.verified(self.pairs(rows, True), "forest-links")
+            more = self.verified(pairs.union(self.apart(rows, True)), "forest-links")
             if more is not None:  # else no candidate is left
                 links = more if links is None else links.union(more)
-                rest = self.verified(self.pairs(self.placed(rows.drop("comp"), links, "key", "n", "pos", "bits"), False), "other-links")
+                rest = self.verified(self.apart(self.placed(rows.drop("comp"), links, "key", "n", "pos", "bits"), False), "other-links")
                 links = links if rest is None else links.union(rest)
         return self.placed(self.ids, links, "doc_id").select("doc_id", "node", F.col("comp").alias("component_id"))

@@ -44,12 +44,14 @@ def test_texts_below_the_similarity_stay(copies):
     assert len(below) >= 15 and all(d + 1 in left for d, share in shares.items() if share < 0.8)
 
 
-def test_large_groups_of_one_template(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("small", [1, 8, 1000])
+def test_large_groups_of_one_template(spark, tmp_path, monkeypatch, small):
     """Components are those of brute force where all texts share a template, whatever the blocks."""
     from tessella.llm.common import Scratch
     from tessella.llm.simhash import Trees
 
     monkeypatch.setattr(near_sets, "BLOCK", 16)
+    monkeypatch.setattr(near_sets, "SMALL", small)
     rng = random.Random(6)
     base = [f"b{k}" for k in range(150)]
     texts = {}
