@@ -458,8 +458,9 @@ class _Search:
         scratch, unit = self.scratch, self.unit
         owners = scratch.save(found, f"hot-{level}")
         distinct = owners.groupBy("key", "piece").agg(F.sum("copies").alias("copies"), F.first("spot").alias("spot"), F.first("windows").alias("windows"), F.first("content").alias("content"))
-        kinds = owners.select("key", "piece").distinct().groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("kinds"))
-        distinct = scratch.save(distinct.join(kinds, F.col("key") == F.col("k")).drop("k"), f"hot-pieces-{level}")
+        distinct = scratch.save(distinct, f"hot-pieces-{level}")
+        kinds = scratch.save(distinct.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), f"hot-kinds-{level}")
+        distinct = distinct.join(kinds, F.col("key") == F.col("k"), "left").drop("k")  # of written tables, so a hot key can be split
         last = level + 1 == len(unit.widths)
         # at the last width pieces of one key are equal but for collisions of 64 bits, so they are never split
         split = F.lit(False) if last else F.col("kinds") > self.split_segments
