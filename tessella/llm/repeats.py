@@ -98,11 +98,6 @@ class Bytes:
         """The end of a window by its number."""
         return places[window + self.size]
 
-    def spans(self, content: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the tokens in the text itself."""
-        at = np.arange(len(content) + 1)
-        return at[:-1], at[1:]
-
 
 @dataclass(frozen=True)
 class Words:
@@ -136,6 +131,7 @@ class Words:
         return places[window + self.size] + 1
 
     def spans(self, content: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words in the text itself."""
         data = np.frombuffer(content, np.uint8)
         inner = np.concatenate([[False], (data != _SPACE) & ((data < 9) | (data > 13)), [False]]).astype(np.int8)
         edges = np.diff(inner)
@@ -358,26 +354,36 @@ def _sort_groups(unit, batch_bytes: int):
     return run
 
 
-def _gone(content: bytes, copies: int, ranges, unit) -> np.ndarray:
-    """Whether each token of a text is in a repeated window."""
-    starts, _ = unit.spans(content)
-    change = np.zeros(len(starts) + 1, dtype=np.int64)
-    if copies > 1 and len(starts) >= unit.size:
+def _gone(tokens: int, copies: int, ranges, unit) -> np.ndarray:
+    """Whether each of a text's tokens is in a repeated window."""
+    change = np.zeros(tokens + 1, dtype=np.int32)
+    if copies > 1 and tokens >= unit.size:
         change[0], change[-1] = 1, -1
     for r in ranges or ():
         change[r["a"]] += 1
         change[r["b"] - 1 + unit.size] -= 1
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
+
 
+def _runs(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs that hold."""
+    edges = np.flatnonzero(gone[1:] != gone[:-1]) + 1
+    edges = np.concatenate([[0], edges] if len(gone) and gone[0] else [edges])
+    ends = edges[1::2]
+    return edges[::2], ends if len(ends) == len(edges[::2]) else np.append(ends, len(gone))
 
-def _covered(content: bytes, gone: np.ndarray, unit) -> np.ndarray:
-    """Whether each byte lies in a run of gone tokens (with what is between them)."""
+
+def _spans(content: bytes, copies: int, ranges, unit) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many of a text's tokens are in repeated windows, and the bytes where their runs start and end."""
+    if copies < 2 and not ranges:
+        return 0, *(np.zeros(0, dtype=np.int64),) * 2
+    if isinstance(unit, Bytes):
+        gone = _gone(len(content), copies, ranges, unit)
+        return int(gone.sum()), *_runs(gone)
     starts, ends = unit.spans(content)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-    change = np.zeros(len(content) + 1, dtype=np.int8)
-    change[starts[edges[::2]]] = 1
-    change[ends[edges[1::2] - 1]] -= 1
-    return np.cumsum(change[:-1]) > 0
+    gone = _gone(len(starts), copies, ranges, unit)
+    first, past = _runs(gone)
+    return int(gone.sum()), starts[first], ends[past - 1]
 
 
 def _cut_out(unit, passages, keep: bool):
@@ -389,19 +395,22 @@ def _cut_out(unit, passages, keep: bool):
         for batch in batches:
             rows = []
             for digest, content, copies, ranges, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone = _covered(content, _gone(content, copies, ranges, unit), unit)
-                spans = int((np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1).sum())
-                left = np.frombuffer(content, np.uint8)[~gone].tobytes()
-                words = int(_gone(content, copies, more, passages).sum()) if passages else 0
-                rows.append((digest, int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), _whole_characters(content, gone) if keep else None, words))
+                _, starts, ends = _spans(content, copies, ranges, unit)
+                # what lies before, between and after the spans
+                left = b"".join(content[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(content)], strict=True))
+                words = _spans(content, copies, more, passages)[0] if passages else 0
+                kept = _whole_characters(content, starts, ends) if keep else None
+                rows.append((digest, len(content) - len(left), len(starts), hashlib.sha256(left).hexdigest(), kept, words))
             yield _batches(rows, names, kinds)
 
     return run
 
 
-def _whole_characters(content: bytes, gone: np.ndarray) -> bytes:
+def _whole_characters(content: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     """What is left, with characters that a span cuts through kept whole, so that it is UTF-8 text."""
-    data = np.frombuffer(content, np.uint8)
+    change = np.zeros(len(content) + 1, dtype=np.int8)
+    change[starts], change[ends] = 1, -1
+    gone, data = np.cumsum(change[:-1], dtype=np.int8) > 0, np.frombuffer(content, np.uint8)
     character = np.cumsum((data & 0xC0) != 0x80)
     stays = np.bincount(character[~gone], minlength=int(character[-1]) + 1 if len(character) else 1) > 0
     return data[stays[character]].tobytes()
