@@ -6,7 +6,8 @@ have no zone; doubles are rounded on both sides where engines sum in different o
 
 from __future__ import annotations
 
-import getpass
+import os
+import pwd
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -748,7 +749,11 @@ def null_helpers(spark, t):
     return From(t("orders"), "o").select(lambda o: (o.o_orderkey, M.nullif(o.o_orderstatus, "F").alias("n"), M.coalesce(M.nullif(o.o_orderstatus, "F"), F.lit("none")).alias("c"), M.null_of("int").alias("z"))).df()
 
 
-@query(f"select '{getpass.getuser()}' as current, '{getpass.getuser()}' as session, '{getpass.getuser()}' as own, 'default' as schema, 'spark_catalog' as catalog, 'spark_catalog' as database")
+#: Whom Spark takes the session's user to be.
+_USER = os.environ.get("SPARK_USER") or pwd.getpwuid(os.geteuid()).pw_name
+
+
+@query(f"select '{_USER}' as current, '{_USER}' as session, '{_USER}' as own, 'default' as schema, 'spark_catalog' as catalog, 'spark_catalog' as database")
 def session_functions(spark, t):
     return From(SRC.empty(spark), "e").select(lambda _: (
         M.current_user().alias("current"), M.session_user().alias("session"), M.user().alias("own"), M.current_schema().alias("schema"), M.current_catalog().alias("catalog"), M.current_database().alias("database"),
