@@ -23,6 +23,8 @@ import numpy as np
 
 #: Entries a memo holds before it starts anew; bounds its memory at about 100 MB a worker.
 MEMO_ENTRIES = 400_000
+#: Entries of one of a memo's two generations: frequent words live on, rare ones go after a while.
+GENERATION = 250_000
 
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,16 +88,23 @@ class PieceModel:
 
 
 class _Memo(dict):
-    """A dictionary that learns what it lacks."""
+    """A dictionary that learns what it lacks; ``turn`` lets go of what was not asked for since the last turn."""
 
     def __init__(self, learn):
         super().__init__()
-        self.learn = learn
+        self.learn, self.older = learn, {}
 
     def __missing__(self, key):
-        value = self[key] = self.learn(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.learn(key)
+        self[key] = value
         return value
 
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
 
 class ByteBpeModel:
     """Ids of a tokenizers file; byte-level BPE without a normaliser gets the memo."""
@@ -167,8 +176,8 @@ class ByteBpeModel:
         In a text without white-space runs, each space opens a piece and each line feed is a piece, so the
         stretches between them encode independently: those after a space with that space, others without.
         """
-        if len(self.memo) + len(self.tokens) > MEMO_ENTRIES:
-            self.memo.clear()
+        if len(self.memo) + len(self.tokens) > GENERATION:
+            self.memo.turn()
             self.tokens.clear()
         get, out = self.memo.__getitem__, []
         for text in texts:
