@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, text_batches
-from tessella.llm.tokenize import load, public_path
+from tessella.llm.tokenize import calls, load, public_path
 
 
 def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
@@ -70,9 +70,8 @@ def _counter(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         model = load(tokenizer if os.sep in tokenizer else public_path(tokenizer))
-        for batch in batches:
-            counts = model.count(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n"])
+        for numbers, texts in calls(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(model.count(texts), pa.int64())], names=["doc_id", "n"])
 
     return run
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, text_batches
-from tessella.llm.tokenize import load, public_path
+from tessella.llm.tokenize import calls, load, public_path
 
 MAGIC = b"TSLIDS02"
 HEADER = struct.Struct("<8s8Q")
@@ -151,8 +151,8 @@ def _writer(tokenizer: str, end_id: int, block_ids: int):
         end = np.array([end_id], dtype="<u4").tobytes()
         file_no, block_no, held, docs, ids = TaskContext.get().partitionId(), 0, 0, [], []
         block = lambda: pa.RecordBatch.from_arrays([pa.array([pack_block(file_no, block_no, docs, ids)], pa.binary())], names=["block"])
-        for batch in batches:
-            for doc, found in zip(batch.column(0).to_pylist(), model.encode(batch.column(1).to_pylist()), strict=True):
+        for numbers, texts in calls(batches):
+            for doc, found in zip(numbers, model.encode(texts), strict=True):
                 docs.append(doc)
                 ids.append(found + end)
                 held += len(found) // 4 + 1

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessella.llm import decontaminate, language, packing, quality, repeats, simhash, suffix_sort, token_counts, token_files, toxicity, warc
 from tessella.llm.common import Scratch
 from tessella.llm.components import components
-from tessella.llm.tokenize import load, public_path
+from tessella.llm.tokenize import ByteBpeModel, load, public_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = ["alpha", "beta", "gamma", "delta", "eins", "zwei", "né", "été", "straße", "run", "stop", "go."]
@@ -147,6 +147,19 @@ def test_tokenizers_equal_the_libraries(texts):
     assert ids.encode(odd) == [ids._whole(t) for t in odd]
 
 
+def test_byte_level_encodes_each_pre_token_once_a_call():
+    ids = ByteBpeModel(public_path("byte_bpe_50k.json"))
+    library, asked = ids.tokenize, []
+    ids.tokenize = lambda part: asked.append(part) or library(part)
+    texts = ["beta beta, beta. Ärger's 'beta' beta|beta (beta)\nbeta_ x1 beta...", "", "beta\n", "a  beta", "été, | | 12, beta"]
+    assert ids.encode(texts) == [ids._whole(t) for t in texts]
+    assert asked.count("Ġbeta") == 1 and asked.count(",") == 1
+    assert ids.count(texts) == [len(ids._whole(t)) // 4 for t in texts]
+    for some in ([], [""], ["a  b"], ["_"], ["", "", "\n"]):
+        assert ids.encode(some) == [ids._whole(t) for t in some]
+        assert ids.count(some) == [len(ids._whole(t)) // 4 for t in some]
+
+
 def test_token_counts_use_the_cache(spark, docs, texts, none):
     scratch = Scratch(spark, "t-counts")
     cache = scratch.path("cache")
