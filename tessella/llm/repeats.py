@@ -43,6 +43,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,8 @@ from tessella.llm.suffix_sort import repeated_starts
 PIECE = 1 << 20
 _PLACE_BITS = 21  # PIECE + windows of one more window fit
 _SPACE = 32
+#: Most digits there are at one place of a word's number.
+_DIGITS = 100
 #: Columns of hashes have no dictionary worth trying.
 _HASHES = {"parquet.enable.dictionary": "false"}
 
@@ -89,10 +92,18 @@ class Bytes:
             size *= 2
         return _mixed(hashes)
 
-    def starts(self, segment: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a segment's windows and their bytes."""
-        at = np.arange(len(segment) - self.size + 1)
-        return at, np.full(len(at), self.size)
+    def windows(self, segment: bytes) -> int:
+        """How many windows a segment has."""
+        return len(segment) - self.size + 1
+
+    def symbols(self, segments: list[bytes]) -> tuple[np.ndarray, int, np.ndarray]:
+        """The segments as symbols from 2 on, a 1 after each and a 0 at the end; symbols a token; tokens of each segment."""
+        text = np.frombuffer(b"\0".join(segments) + b"\0\0", np.uint8).astype(np.uint16)
+        text += 2
+        tokens = np.fromiter(map(len, segments), np.int64, len(segments))
+        text[np.cumsum(tokens + 1) - 1] = 1
+        text[-1] = 0
+        return text, 1, tokens
 
     def past(self, places: np.ndarray, window) -> np.ndarray:
         """The end of a window by its number."""
@@ -122,10 +133,26 @@ class Words:
         first = places[: -self.gram]
         return _mixed(_mixed((running[places[self.gram :]] - running[first]) * back[first]))
 
-    def starts(self, segment: bytes) -> tuple[np.ndarray, np.ndarray]:
-        spaces = np.flatnonzero(np.frombuffer(segment, np.uint8) == _SPACE)
-        windows = len(spaces) - self.size
-        return spaces[:windows], spaces[self.size :] + 1 - spaces[:windows]
+    def windows(self, segment: bytes) -> int:
+        return segment.count(b" ") - self.size
+
+    def symbols(self, segments: list[bytes]) -> tuple[np.ndarray, int, np.ndarray]:
+        """Words are numbered; a number is written in as many digits as keep the alphabet, and so the sort's buckets, small.
+
+        First digits are less than others, so equal symbols are whole equal words.
+        """
+        cut = pc.split_pattern(pa.array([b"".join(segments)], pa.large_binary()), b" ").values[1:]  # an empty word ends each segment
+        coded = pc.dictionary_encode(pa.concat_arrays([pa.array([b""], pa.large_binary()), cut]))
+        numbers, kinds = coded.indices.to_numpy()[1:], len(coded.dictionary)
+        digits = 1
+        while _DIGITS**digits < kinds:
+            digits += 1
+        base = next(b for b in range(1, _DIGITS + 1) if b**digits >= kinds)
+        text = np.ones(len(numbers) * digits + 1, dtype=np.uint16)
+        text[-1] = 0
+        for k in range(digits):
+            text[k:-1:digits] = np.where(numbers > 0, numbers // base**k % base + (2 + base if k else 2), 1)
+        return text, digits, np.diff(np.flatnonzero(numbers == 0), prepend=-1) - 1
 
     def past(self, places: np.ndarray, window) -> np.ndarray:
         return places[window + self.size] + 1
@@ -310,23 +337,16 @@ def repeated_ranges(segments: list[tuple[int, int, int, bytes]], unit) -> list[t
     """(anchor, seg, first, past) ranges of repeated windows among whole anchors' (anchor, seg, first window, bytes)."""
     if not segments:
         return []
-    lengths = np.array([len(s[3]) for s in segments], dtype=np.int64)
-    text = np.zeros(int(lengths.sum()) + len(segments) + 1, dtype=np.uint16)
+    text, width, tokens = unit.symbols([s[3] for s in segments])
+    starts = (np.cumsum(tokens + 1) - tokens - 1) * width
+    spans = [slice(a, a + n * width, width) for a, n in zip(starts.tolist(), (tokens - unit.size + 1).tolist(), strict=True)]
     need = np.zeros(len(text), dtype=np.int32)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    windows = []
-    for at, segment in zip(starts, segments, strict=True):
-        own = text[at : at + len(segment[3])]
-        own[:] = np.frombuffer(segment[3], np.uint8)
-        own += 2
-        text[at + len(segment[3])] = 1
-        places, size = unit.starts(segment[3])
-        need[at + places] = size
-        windows.append(at + places)
+    for span in spans:
+        need[span] = unit.size * width
     marked = repeated_starts(text, need)
     out = []
-    for places, (anchor, seg, first, _) in zip(windows, segments, strict=True):
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], marked[places], [False]]).astype(np.int8)))
+    for span, (anchor, seg, first, _) in zip(spans, segments, strict=True):
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], marked[span], [False]]).astype(np.int8)))
         out += [(anchor, seg, first + int(a), first + int(b)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     return out
 
@@ -348,7 +368,7 @@ def _sort_groups(unit, batch_bytes: int):
                         rows, whole, size = [], [], 0
                 group.append((anchor, seg, spot, content))
                 if copies > 1:
-                    whole.append((anchor, seg, 0, len(unit.starts(content)[0])))
+                    whole.append((anchor, seg, 0, unit.windows(content)))
         yield _batches(repeated_ranges(rows + trimmed(group, unit), unit) + whole, names, kinds)
 
     return run
@@ -439,6 +459,10 @@ class _Bucketed:
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def partitions(self):
+        """A shuffle partition a bucket while joins with the texts run: with any more, Spark would shuffle the texts, too."""
+        return session_conf(self.spark, spark__sql__shuffle__partitions=self.buckets)
+
     def with_lists(self, rows: DataFrame, name: str, value, how: str = "inner") -> DataFrame:
         """The texts with the lists of ``value`` that rows (tid, tid2, ...) have for them."""
         lists = rows.groupBy(F.col("tid").alias("t"), F.col("tid2").alias("t2")).agg(F.collect_list(value).alias(name))
@@ -495,7 +519,10 @@ class _Search:
         twice = scratch.save(segments.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("k")), "twice")
         shared = scratch.save(segments.join(twice, F.col("anchor") == F.col("k")).drop("k"), "shared", **_HASHES)
         scratch.drop("segments", "twice")
-        distinct = shared.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("tid", "tid2", "start", "windows", "spot")).alias("at"))
+        # numbers alone, whose first row is found without a sort
+        place = ("tid", "tid2", "start", "windows", "spot")
+        distinct = shared.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in place))
+        distinct = distinct.select("anchor", "seg", "copies", F.struct(*place).alias("at"))
         distinct = scratch.save(distinct, "distinct", **_HASHES)
         sizes = scratch.save(distinct.groupBy(F.col("anchor").alias("k")).agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("at.windows").cast("long")).alias("w")).filter("kinds > 1"), "sizes")
         joined = distinct.join(sizes, F.col("anchor") == F.col("k"), "left")
@@ -503,7 +530,7 @@ class _Search:
         hot = F.col("kinds") > self.split_segments
         token = 1 if isinstance(unit, Bytes) else 7  # bytes, about
         load, hottest = sizes.agg(F.sum(F.when(~hot, F.col("w") + F.col("kinds") * unit.size)), F.max("kinds")).first()
-        with text_batches(spark):
+        with text_batches(spark), self.texts.partitions():
             several = joined.filter("kinds is not null").select(F.col("at.tid").alias("tid"), F.col("at.tid2").alias("tid2"), hot.alias("hot"),
                 F.struct(F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), F.col("at.spot").alias("spot"), "anchor", "seg", "copies").alias("s"))
             if load:
@@ -552,7 +579,7 @@ def repeated_spans(
         found = search(unit, "windows").select("tid", "tid2", F.lit(False).alias("more"), "r")
         if passages:
             found = found.union(search(passages, "passages").select("tid", "tid2", F.lit(True), "r"))
-        with text_batches(spark):
+        with text_batches(spark), texts.partitions():
             held = texts.with_lists(found, "found", F.struct("more", "r"), "left").filter("copies > 1 or found is not null")
             of = lambda more: F.transform(F.filter("found", lambda x: x["more"] if more else ~x["more"]), lambda x: x["r"])
             cleaned = held.select("digest", "content", "copies", of(False).alias("ranges"), of(True).alias("passages")).mapInArrow(

@@ -226,13 +226,13 @@ class _Inducer:
 
     def __init__(self, text: np.ndarray, wanted: np.ndarray, queue: BucketQueue, depth: int, symbols: int):
         self.text, self.wanted, self.queue, self.depth = text, wanted, queue, depth
-        self.least = np.zeros(symbols, dtype=np.int64)  # least common prefix since a symbol's last push
+        self.least = np.zeros(symbols, dtype=np.int32)  # least common prefix since a symbol's last push
         self.last = None
 
     def feed(self, positions: np.ndarray, prefixes: np.ndarray) -> None:
         """Process suffixes in order; ``prefixes[k]`` is shared with the suffix before, across calls too."""
         for start in range(0, len(positions), BATCH):
-            self._batch(positions[start : start + BATCH], prefixes[start : start + BATCH].astype(np.int64))
+            self._batch(positions[start : start + BATCH], prefixes[start : start + BATCH])
 
     def _batch(self, positions: np.ndarray, prefixes: np.ndarray) -> None:
         left = positions - 1
@@ -251,7 +251,7 @@ class _Inducer:
         while (1 << len(levels)) <= len(prefixes):
             half = 1 << (len(levels) - 1)
             levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
-        shared = np.empty(len(at), dtype=np.int64)
+        shared = np.empty(len(at), dtype=np.int32)
         heads = np.flatnonzero(first)
         shared[heads] = np.minimum(self.least[symbols[heads]], running[at[heads]])
         rest = np.flatnonzero(~first)
@@ -268,7 +268,7 @@ class _Inducer:
         self.least = np.minimum(self.least, running[-1])
         for a, b in zip(heads, ends, strict=True):
             symbol = int(symbols[a])
-            self.queue.push(symbol, left[at[a:b]], shared[a:b].astype(np.int32))
+            self.queue.push(symbol, left[at[a:b]], shared[a:b])
             tail = at[b - 1] + 1
             self.least[symbol] = backwards[tail] if tail < len(prefixes) else self.depth
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, language, packing, quality, repeats, simhash, suffix_sort, token_counts, token_files, toxicity, warc
-from tessella.llm.common import Scratch
+from tessella.llm.common import Scratch, session_conf
 from tessella.llm.components import components
 from tessella.llm.tokenize import ByteBpeModel, load, public_path
 
@@ -337,6 +337,45 @@ def test_repeated_spans_in_pieces(spark, none, monkeypatch, unit):
     assert repeats.repeated_spans(none, Scratch(spark, "t-repeats"), unit=unit).count() == 0
 
 
+def test_joins_with_the_texts_do_not_shuffle_them(spark, texts, monkeypatch):
+    plans, joined = [], repeats._Bucketed.with_lists
+
+    def watched(*args):
+        out = joined(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(repeats._Bucketed, "with_lists", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with session_conf(spark, spark__sql__shuffle__partitions=20, spark__sql__autoBroadcastJoinThreshold=-1):
+        repeats.repeated_spans(docs, Scratch(spark, "t-shuffles"), repeats.Bytes(32, 16, (8, 1)), repeats.Words(12, 4, (4, 1)))
+    assert len(plans) >= 3
+    for plan in plans:
+        lines = [(len(re.match(r"[ :+-]*", line).group()), line) for line in plan.splitlines()]
+        at = next(k for k, (_, line) in enumerate(lines) if "tessella_texts" in line)
+        depth, above = lines[at][0], []
+        for indent, line in reversed(lines[:at]):
+            if indent < depth:
+                depth, above = indent, [*above, line]
+        below_join = list(itertools.takewhile(lambda line: "Join" not in line, above))
+        assert len(below_join) < len(above) and not any("Exchange" in line for line in below_join)
+
+
+@pytest.mark.parametrize("kinds", [3, 90, 4000, 20_000])
+def test_words_are_sorted_as_numbers(kinds):
+    rng, unit = np.random.default_rng(kinds), repeats.Words(6, 3, (3, 1))
+    runs = [[f"w{x}" for x in rng.integers(0, kinds, n)] for n in (6, 40, 9000, 300)]
+    runs += [runs[2][50:90], runs[1][:7] + runs[2][-8:], [*runs[3][:5], "é", *runs[3][6:]]]
+    segments = [(0, k, 0, f" {' '.join(words)} ".encode()) for k, words in enumerate(runs)]
+    symbols, width, tokens = unit.symbols([s[3] for s in segments])
+    assert tokens.tolist() == [len(words) for words in runs] and len(symbols) == (sum(tokens) + len(runs)) * width + 1
+    assert len(symbols) < sum(len(s[3]) for s in segments) and symbols.max() < 256
+    windows = [[tuple(words[a : a + 6]) for a in range(len(words) - 5)] for words in runs]
+    seen = collections.Counter(w for own in windows for w in own)
+    marked = {(k, a) for k, own in enumerate(windows) for a, w in enumerate(own) if seen[w] > 1}
+    assert {(k, a) for _, k, first, past in repeats.repeated_ranges(segments, unit) for a in range(first, past)} == marked
+
+
 def test_a_passage_in_many_texts(spark):
     """A hot anchor's segments are cut until no key holds more than ``split_segments`` of them."""
     rng = random.Random(12)
