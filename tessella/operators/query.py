@@ -203,7 +203,7 @@ class Query:
                 continue
             parts[j.alias] = Columns(j.alias, j.df.columns)
             right = j.df.alias(j.alias)
-            current = current.crossJoin(right) if j.how == "cross" else current.join(right, j.on(Sources(parts)), j.how)
+            current = current.crossJoin(right) if j.how == "cross" else _joined(current, right, j.on(Sources(parts)), j.how)
         names = self._sources(parts)
         for condition in self.wheres:
             current = current.filter(condition(names))
@@ -312,6 +312,58 @@ def _name(column: Column) -> str:
     return text.rpartition(".")[2].strip("`") if "(" not in text and " " not in text else text
 
 
+def _joined(left: DataFrame, right: DataFrame, on: Column, how: str) -> DataFrame:
+    """A join; a full one by equalities is a left join and the right rows that met no left one.
+
+    Spark's full join holds every pair of a key in memory before it hands the first one on, and can neither broadcast a
+    side nor split a key over tasks. Both parts read the left side, so it has to be the same at each reading.
+    """
+    whole = left.join(right, on, how)
+    if how != "full" or not _by_equality(whole) or not _steady(left) or not _steady(right):
+        return whole
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema]
+    alone = right.join(left, on, "left_anti").select(*none, "*")
+    return _spread(left, right).join(right, on, "left").union(alone)
+
+
+def _spread(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left rows dealt out evenly where the right side is broadcast: a small file's few tasks would make all pairs else."""
+    conf = left.sparkSession._jsparkSession.sessionState().conf()
+    left_bytes, right_bytes = (df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() for df in (left, right))
+    if right_bytes > conf.autoBroadcastJoinThreshold():
+        return left
+    tasks = max(3 * left.sparkSession.sparkContext.defaultParallelism, left_bytes >> 26)
+    return left.repartition(min(tasks, conf.numShufflePartitions()))
+
+
+def _by_equality(joined: DataFrame) -> bool:
+    """Whether the analyzed plan's topmost join has equalities for keys."""
+    keys = joined.sparkSession._jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys
+    return keys.unapply(joined._jdf.queryExecution().analyzed()).isDefined()
+
+
+#: As each full join of a chain reads what stands before it twice, a frame over more relations than these is read once.
+_RELATIONS = 16
+#: Nodes of a plan whose rows don't depend on the order in which rows arrive.
+_STEADY = {
+    "Distinct", "Filter", "Join", "LocalRelation", "LogicalRDD", "LogicalRelation", "OneRowRelation", "Project", "Range", "Repartition", "ResolvedHint", "Sort", "SubqueryAlias", "Union", "View",
+}
+
+
+def _steady(df: DataFrame) -> bool:
+    """Whether a frame gives the same rows each time it is read: nothing random, and no rows picked by an order with ties."""
+    nodes = [df._jdf.queryExecution().analyzed()]
+    if not nodes[0].deterministic() or nodes[0].collectLeaves().size() > _RELATIONS:
+        return False
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() not in _STEADY:
+            return False
+        for below in (node.children(), node.subqueries()):
+            nodes += [below.apply(k) for k in range(below.size())]
+    return True
+
+
 _DIRECTIONS = {
     "ASC NULLS LAST": lambda c: c.asc_nulls_last(), "DESC NULLS FIRST": lambda c: c.desc_nulls_first(),
     "ASC NULLS FIRST": lambda c: c.asc_nulls_first(), "DESC NULLS LAST": lambda c: c.desc_nulls_last(),

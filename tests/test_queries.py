@@ -298,3 +298,37 @@ def test_file_formats(spark, tmp_path, kind):
     if kind in ("json", "csv"):
         with pytest.raises(ValueError):
             SRC.read(spark, str(tmp_path / "t"), kind)
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_full_join_is_a_left_join_and_the_rows_left_over(spark, broadcast):
+    """Spark's full join holds all pairs of a key at once; NULL keys and rows whose condition fails stay alone on both sides."""
+    a = spark.createDataFrame([(1, "x", 5), (1, "y", 1), (1, "x", 5), (2, "z", 3), (None, "n", 2), (4, "q", None)], "k int, v string, w int")
+    ids = spark.range(5).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).cast("int").alias("u"))
+    b = ids.union(ids.filter("k < 2")).select(F.when(F.col("k") > 0, F.col("k")).alias("k"), "u")
+    q = From(a, "a").full_join(b, "b", lambda s: (s.a.k == s.b.k) & (s.a.w > s.b.u))
+    plain = a.alias("a").join(b.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.w") > F.col("b.u")), "full")
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.collect())) and x.schema == y.schema
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        assert same(q.df(), plain) and "FullOuter" not in plan(q.df())
+        assert ("RoundRobin" in plan(q.df())) == (broadcast != "-1")
+        later = q.full_join(a, "d", lambda s: s.d.k == s.b.u).where(lambda s: s.a.k.isNull() | s.d.w.isNotNull()).select(lambda s: (s.b.u, s.d.v, A.count_all().alias("n"))).group_by(lambda s: (s.b.u, s.d.v))
+        want = plain.join(a.alias("d"), F.col("d.k") == F.col("b.u"), "full").filter("a.k is null or d.w is not null").groupBy("b.u", "d.v").count().withColumnRenamed("count", "n")
+        assert sorted(map(str, later.df().collect())) == sorted(map(str, want.collect())) and "FullOuter" not in plan(later.df())
+        mine = From(a, "x").full_join(a, "y", lambda s: s.x.k == s.y.w)
+        assert same(mine.df(), a.alias("x").join(a.alias("y"), F.col("x.k") == F.col("y.w"), "full"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_full_join_reads_once_what_two_readings_may_tell_apart(people):
+    other = people.select(F.col("id").alias("k"), "age")
+    for left in (people.limit(3), people.withColumn("r", F.rand()), people.dropDuplicates(["age"]), From(people, "p").distinct_on(lambda p: p.age).df()):
+        for pair in ((left, other), (other, left.withColumnRenamed("id", "k"))):
+            df = From(pair[0], "a").full_join(pair[1], "b", lambda s: (s.a.id if "id" in pair[0].columns else s.a.k) == s.b.k).df()
+            assert "FullOuter" in df._jdf.queryExecution().optimizedPlan().toString()
+    apart = From(people, "a").full_join(other, "b", lambda s: s.a.age > s.b.age).df()
+    assert "FullOuter" in apart._jdf.queryExecution().optimizedPlan().toString()
