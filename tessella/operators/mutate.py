@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessella.operators.query import Columns, Query, Sources, _many
 from tessella.operators.setops import SetOp
+from tessella.sources.rows import literal
 from tessella.sources.schema import UNSET, TableDef, ViewDef
 
 
@@ -107,7 +108,7 @@ class Insert:
                 if c.check is not None and d[n] is not None and not c.check(d[n]):
                     raise ValueError(f"value {d[n]!r} breaks the constraint of {n!r}")
         schema = T.StructType([T.StructField(n, table.column(n).spark_type) for n in names])
-        return cls(table, current, cls._complete(table, spark.createDataFrame([tuple(d[n] for n in names) for d in dicts], schema)))
+        return cls(table, current, cls._complete(table, literal(spark, [tuple(d[n] for n in names) for d in dicts], schema)))
 
     @classmethod
     def from_query(cls, table: TableDef, current: DataFrame, query) -> Insert:

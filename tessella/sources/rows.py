@@ -33,7 +33,18 @@ def values(spark: SparkSession, rows: list[dict], schema: str | None = None) ->
     names = list(rows[0])
     if any(list(r) != names for r in rows):
         raise ValueError("all rows of VALUES need the same columns in the same order")
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema or names)
+    return literal(spark, [tuple(r[n] for n in names) for r in rows], schema or names)
+
+
+def literal(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
+    """Rows that stand in the plan itself, so that Spark knows their size and broadcasts them to a larger side.
+
+    Of a list alone it would take the size to be unknown, and joins would sort the larger side by its keys.
+    """
+    jvm, done = spark._jvm, spark.createDataFrame(rows, schema)._jdf.queryExecution()
+    held = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(done.executedPlan().executeCollect())
+    relation = jvm.org.apache.spark.sql.catalyst.plans.logical.LocalRelation(done.analyzed().output(), held, False, jvm.scala.Option.empty())
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, relation), spark)
 
 
 def empty(spark: SparkSession) -> DataFrame:

@@ -332,3 +332,21 @@ def test_full_join_reads_once_what_two_readings_may_tell_apart(people):
             assert "FullOuter" in df._jdf.queryExecution().optimizedPlan().toString()
     apart = From(people, "a").full_join(other, "b", lambda s: s.a.age > s.b.age).df()
     assert "FullOuter" in apart._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_literal_rows_are_broadcast_to_a_larger_side(spark):
+    rows = [{"k": 1, "v": "a", "d": dt.date(1582, 10, 10), "l": [1, None]}, {"k": 9, "v": None, "d": None, "l": None}]
+    kind = "k int, v string, d date, l array<int>"
+    v = SRC.values(spark, rows, kind)
+    assert v.schema == spark.createDataFrame([], kind).schema and [r.asDict() for r in v.orderBy("k").collect()] == rows
+    assert v._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1000
+    many = spark.range(1000).select((F.col("id") % 7).cast("int").alias("k"))
+    joined = From(v, "v").inner_join(many, "m", lambda s: s.m.k == s.v.k).select(lambda s: (s.v.v, A.count_all().alias("n"))).group_by(lambda s: s.v.v).df()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in joined.collect()] == [("a", 143)] and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    with pytest.raises(TypeError):
+        SRC.values(spark, [{"k": "x"}], "k int")
+    table = Builder("t").column("k", "int4").column_opt("v", "text").build().with_primary("k")
+    put = M.insert(spark, table, many.distinct().withColumn("v", F.lit("old")), {"k": 1, "v": "new"}, {"k": 8, "v": None})
+    assert put.rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1000
+    assert sorted((r.k, r.v) for r in put.on_conflict_do_nothing().run().affected.collect()) == [(8, None)]
